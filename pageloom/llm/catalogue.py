@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import leaks, lookalikes, packing
+from pageloom.llm import languages, leaks, lookalikes, packing
 from pageloom.operators.nested import flat_table
 from pageloom.session import table
 
@@ -25,6 +25,30 @@ def p4_titles(spark: SparkSession, d: str) -> DataFrame:
     return both.filter("title IS NOT NULL").distinct().select("title", lookalikes.look(F.col("title")).alias("norm"))
 
 
+def _labelled_texts(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Model]:
+    """All texts with the language they are meant to be in, and a model fitted on documents."""
+    docs = table(spark, d, "documents")
+    model = languages.fit(languages.training_texts(docs, F.col("doc_id"), F.col("lang"), F.col("text")))
+    csv = table(spark, d, "csv_ingestion")
+    rows = csv.select(F.lit("csv_ingestion").alias("src"), F.col("rec_no").cast("string").alias("rec_id"), F.lit("en").alias("label"), F.col("`description.en`").alias("text"))
+    rows = rows.unionByName(_archive(spark, d, "Inhoud").select(F.lit("anefo").alias("src"), F.col("doc_id").alias("rec_id"), F.lit("nl").alias("label"), F.col("Inhoud").alias("text")))
+    own = docs.select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_id"), languages.label_column(F.col("lang")).alias("label"), "text")
+    return rows.unionByName(own), model
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    # a document that several responses hold is labelled each time; only the few found rows are shuffled
+    return languages.label_texts(*_labelled_texts(spark, d), "found").distinct()
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.label_texts(*_labelled_texts(spark, d), "segments").distinct()
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.label_texts(*_labelled_texts(spark, d), "documents").distinct()
+
+
 def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     sizes = packing.token_sizes(spark, table(spark, d, "documents"))
     return packing.pack(sizes, packing.capacities_of(table(spark, d, "container_size")))
@@ -45,7 +69,7 @@ def p7_places(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "covered", "words", F.explode("places").alias("p")).select("doc_id", "item_id", "covered", "words", "p.start", "p.stop")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p6_assignment, p6_fill, p7_found, p7_places)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p7_found, p7_places)}
 
 
 def _p4_sql() -> str:
