@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import languages, leaks, lookalikes, packing
+from pageloom.llm import languages, leaks, lookalikes, packing, topics
 from pageloom.operators.nested import flat_table
 from pageloom.session import table
 
@@ -69,7 +69,24 @@ def p7_places(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id", "covered", "words", F.explode("places").alias("p")).select("doc_id", "item_id", "covered", "words", "p.start", "p.stop")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p7_found, p7_places)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return topics.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_item"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents with the subject, and sentences about it."""
+    shares = topics.assign(*topics.fit(table(spark, d, "documents"), table(spark, d, "subject_item")))
+    return shares.groupBy("subject").agg(F.count_if(F.col("share") >= topics.SHARE).alias("documents"), F.sum("about").alias("sentences"))
+
+
+def p8_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The top terms of each topic and the subject it was mapped to, for inspection."""
+    model, _ = topics.fit(table(spark, d, "documents"), table(spark, d, "subject_item"))
+    rows = [(i, s, k, w, round(p, 6)) for i, (s, terms) in enumerate(zip(model.subject_of, topics.top_terms(model))) for k, (w, p) in enumerate(terms)]
+    return spark.createDataFrame(rows, "topic int, subject string, rank int, term string, probability double")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p7_found, p7_places, p8_found, p8_composition, p8_topics)}
 
 
 def _p4_sql() -> str:
