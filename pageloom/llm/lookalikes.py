@@ -14,6 +14,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from pageloom.session import materialised
+
 # Letters of other scripts (first of each pair) of the same shape as a Latin letter (second).
 CYRILLIC = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY ԌG ԚQ ԜW ѴV аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv үy"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC Ϳ" + "J οo νv ρp ϲc ϳj"
@@ -139,7 +141,7 @@ def twins(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
     Only looks with more than one writing are joined. Rows with a null id or title, and equal
     titles, are no twins. A record with several titles counts with each."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title_col}`").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").distinct()
-    rows = rows.withColumn("look", look(F.col("t")))
+    rows = materialised(rows.withColumn("look", look(F.col("t"))))  # read three times
     mixed = rows.groupBy("look").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("look")
     kept = rows.join(mixed, "look", "left_semi")
     a, b = kept.select("look", F.col("id").alias("rec_id"), F.col("t").alias("ta")), kept.select("look", F.col("id").alias("twin_id"), F.col("t").alias("tb"))
