@@ -172,10 +172,10 @@ def pack(sizes: DataFrame, capacities: dict[str, int], stream_items: int = STREA
 
 def capacities_of(containers: DataFrame, kind: str = "container_kind", capacity: str = "capacity") -> dict[str, int]:
     """The table of kinds; a fixed short list."""
-    rows = containers.select(kind, capacity).limit(1001).collect()
+    rows = containers.select(kind, capacity).filter(f"`{kind}` IS NOT NULL AND `{capacity}` IS NOT NULL").limit(1001).collect()
     if len(rows) > 1000:
         raise ValueError("more than 1000 kinds of container")
-    return {r[0]: r[1] for r in sorted(rows) if r[0] is not None and r[1] is not None}
+    return {r[0]: r[1] for r in sorted(rows)}
 
 
 def fill_report(packed: DataFrame, capacities: dict[str, int]) -> DataFrame:

@@ -233,7 +233,7 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     groups = langs if langs and len(langs) * each <= MAX_TOPICS else [None]
     k, v = len(groups) * each, len(words)
     if not subjects or not v:
-        return Model(words, subjects, np.full((max(k, 1), max(v, 1)), 1 / max(v, 1)), [None] * max(k, 1), numbers), corpus
+        return Model(words, subjects, np.full((max(k, 1), max(v, 1)), 1 / max(v, 1)), [None] * max(k, 1), np.zeros((len(subjects), max(v, 1)), np.float32), numbers), corpus
     prior = np.full((k, v), 0.01)
     for w, p in odds.items():
         if w in stop:
@@ -329,6 +329,8 @@ def assign(model: Model, corpus: DataFrame) -> DataFrame:
         import pyarrow.compute as pc
 
         topics, to, word_subjects, subjects = shipped.value
+        if not subjects:
+            return
         schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("sentences", pa.int32()), ("about", pa.int32()), ("share", pa.float64())])
         for whole in batches:
             for b, words, doc in _blocks(whole):
