@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pageloom.functions import scalars, titles, wikitext
-from pageloom.operators import blocks, graph, history, pages
+from pageloom.functions import language, rewriting, scalars, titles, wikitext
+from pageloom.operators import blocks, graph, history, pages, watching
+from pageloom.plans.generators import Relations, page_query
 from pageloom.session import table
+from pageloom.sources import dumps
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -547,3 +549,89 @@ def authors(s, d):
 def file_histories(s, d):
     g = table(s, d, "catimages").groupBy("file_name").agg(F.count("*").alias("entries"), F.min(F.struct("id", "hist_no", "software")).alias("m"), F.countDistinct("action").alias("actions"))
     return g.select("file_name", "entries", F.col("m.software").alias("first_software"), "actions")
+
+
+# ---- watching ---------------------------------------------------------------------------------
+
+
+@query(r"""SELECT title, unnest(regexp_extract_all(title, '[A-Za-z\x{0400}-\x{04FF}]*(?:[A-Za-z][\x{0400}-\x{04FF}]|[\x{0400}-\x{04FF}][A-Za-z])[A-Za-z\x{0400}-\x{04FF}]*')) AS word FROM (SELECT DISTINCT title FROM revertbot WHERE title IS NOT NULL)""")
+def mixed_script_words(s, d):
+    t = table(s, d, "revertbot").select("title").filter("title IS NOT NULL").distinct()
+    return t.select("title", F.explode(watching.mixed_script_words(F.col("title"))).alias("word"))
+
+
+_WHITE = "w AS (SELECT DISTINCT user_name, CASE WHEN length(user_name) % 3 = 0 THEN '' ELSE 'Talk:' END AS prefix FROM revertbot WHERE user_name LIKE '%Badger%')"
+
+
+@query(f"WITH {_WHITE}, {_REVS} SELECT revid FROM rev WHERE EXISTS (SELECT 1 FROM w WHERE w.user_name = rev.user_name AND starts_with(rev.title, w.prefix))")
+def whitelisted_edits(s, d):
+    u = table(s, d, "revertbot").filter("user_name LIKE '%Badger%'").select("user_name", F.when(F.length("user_name") % 3 == 0, "").otherwise("Talk:").alias("prefix")).distinct()
+    return watching.whitelisted(_revs(s, d), u).select("revid")
+
+
+_RULES = [("copyright", "contains", "copyright"), ("vandal", "matches", "(?i)^vandal"), ("proxy", "equals", "Open proxy"), ("link", "matches", r"\[\[")]
+
+
+@query("""SELECT rule, count(*) AS blocks FROM (SELECT CASE WHEN contains(lower(reason), 'copyright') THEN 'copyright' WHEN regexp_matches(reason, '(?i)^vandal') THEN 'vandal' WHEN trim(reason) = 'Open proxy' THEN 'proxy' WHEN contains(reason, '[[') THEN 'link' END AS rule FROM apispec) GROUP BY rule""")
+def block_reason_rules(s, d):
+    return table(s, d, "apispec").select(watching.first_rule(F.col("reason"), _RULES).alias("rule")).groupBy("rule").agg(F.count("*").alias("blocks"))
+
+
+_AT = "TIMESTAMPTZ '2010-06-30 00:00:00+00'"
+
+
+@query(f"""WITH {_REVS}, n AS (SELECT pageid, arg_max(revid, ("timestamp", revid)) AS r FROM rev WHERE pageid IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY pageid), b AS (SELECT pageid, arg_max(revid, ("timestamp", revid)) AS r FROM rev WHERE pageid IS NOT NULL AND "timestamp" <= {_AT} GROUP BY pageid)
+ SELECT coalesce(n.pageid, b.pageid) AS pageid, CASE WHEN b.pageid IS NULL THEN 'new' WHEN n.pageid IS NULL THEN 'closed' WHEN n.r = b.r THEN 'unchanged' ELSE 'changed' END AS status FROM n FULL JOIN b ON n.pageid = b.pageid""")
+def page_news(s, d):
+    log = _revs(s, d).filter("pageid IS NOT NULL AND timestamp IS NOT NULL").select("pageid", "timestamp", "revid")
+    before = watching.state_as_of(log, "pageid", "timestamp", F.lit("2010-06-30").cast("timestamp"), "revid")
+    return watching.news(history.latest_per_key(log, "pageid", "timestamp", "revid"), before, "pageid", "revid")
+
+
+@query(f"""WITH {_REVS}, g AS (SELECT user_name, "timestamp" AS t, CASE WHEN epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY user_name ORDER BY "timestamp")) < 86400000000 THEN 0 ELSE 1 END AS b FROM rev WHERE user_name IS NOT NULL AND "timestamp" IS NOT NULL),
+ n AS (SELECT *, sum(b) OVER (PARTITION BY user_name ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_name, {TS.format('min(t)')} AS begin, {TS.format('max(t)')} AS "end", count(*) AS edits FROM n GROUP BY user_name, k""")
+def edit_sessions(s, d):
+    return watching.sessions(_revs(s, d).select("user_name", "timestamp"), "user_name", "timestamp", 86400).withColumns({c: _text(c) for c in ("begin", "end")})
+
+
+@query(r"""SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1""")
+def json_values(s, d):
+    return table(s, d, "events").select(F.get_json_object("props", "$.k").cast("bigint").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query()
+def json_trees(s, d):
+    """Text leaves of the archive's raw responses, by joined name."""
+    raw = table(s, d, "anefo").filter("raw IS NOT NULL").select(F.explode(dumps.json_flat("raw")).alias("name", "value"))
+    return raw.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query()
+def transliterated_titles(s, d):
+    f = wikitext.rewrite_udf(language.transliterated)
+    return table(s, d, "pagelist").select("page_id", f("title").alias("latin"))
+
+
+@query()
+def fixed_texts(s, d):
+    f = wikitext.rewrite_udf(rewriting.fixed)
+    return _docs(s, d).select("doc_id", "text", f("text").alias("new")).filter("text <> new").select("doc_id", F.md5("new").alias("h"))
+
+
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)</ref>') AND NOT regexp_matches(text, '(?i)<references\s*/?>|\{\{\s*(?:Reflist|References)\s*[|}]')""")
+def pages_lacking_references(s, d):
+    t = wikitext.without_disabled_parts(F.col("text"))
+    return _docs(s, d).filter(t.rlike(r"(?i)</ref>") & ~t.rlike(r"(?i)<references\s*/?>|\{\{\s*(?:Reflist|References)\s*[|}]")).select("doc_id")
+
+
+@query(r"""SELECT doc_id, title, contains(text, '[[' || title || ']]') OR contains(text, '[[' || title || '|') AS linked FROM documents WHERE title IS NOT NULL AND text IS NOT NULL AND (contains(text, '[[' || title || ']]') OR contains(text, '[[' || title || '|'))""")
+def self_links(s, d):
+    hit = F.contains("text", F.concat(F.lit("[["), F.col("title"), F.lit("]]"))) | F.contains("text", F.concat(F.lit("[["), F.col("title"), F.lit("|")))
+    return _docs(s, d).filter(hit).select("doc_id", "title", F.lit(True).alias("linked"))
+
+
+@query(f"""WITH {PAGE}, {CATEGORY}, u AS (SELECT page_id, ns, title, min(source) AS source FROM (SELECT page_id, ns, title, 0 AS source FROM page WHERE ns <> 14 AND page_id IN (SELECT member FROM catlink WHERE category = (SELECT page_id FROM page WHERE title = 'Category:ASIA'))
+ UNION ALL SELECT page_id, ns, title, 1 FROM page WHERE ns = 0 AND is_redirect) GROUP BY ALL), l AS (SELECT * FROM u ORDER BY source, title, page_id LIMIT 40) SELECT page_id, title FROM l WHERE ns = 0""")
+def page_generator(s, d):
+    r = Relations(page(s, d), link(s, d), catlink(s, d))
+    return page_query(r, "-cat:ASIA", "-redirectonly:", "-limit:40", "-ns:0").select("page_id", "title")
