@@ -11,7 +11,7 @@ _NOT_PROSE = re.compile(
 )
 _MARKS = re.compile(r"\[\[(?:[^\[\]|]*\|)?|\]\]|'{2,5}|^[ \t]*[:*#>;]+[ \t]*", re.M)
 _ENTITY = re.compile(r"&(?:nbsp|#160|#xa0);", re.I)
-_ENDS = re.compile(r"(?:(?<=[.?!…])|(?<=[.?!…][\"'”’»“)\]])|(?<=[.?!…][\"'”’»“)\]]{2}))\s+|\n+")
+_ENDS = re.compile(r"([.?!…][\"'”’»“)\]]{0,2})\s+|\n+")
 _COMPLETE = re.compile(r"[.?!…][\"'”’»“)\]]*\s*\Z")
 
 
@@ -32,7 +32,7 @@ def pieces(text: str) -> list[tuple[int, str]]:
     spans: list[tuple[int, int]] = []
     at, gap = 0, "\n\n"
     for m in [*_ENDS.finditer(text), None]:
-        end = m.start() if m else len(text)
+        end = len(text) if m is None else m.start() if m[1] is None else m.end(1)
         if end > at:
             piece = text[at:end]
             if piece.isspace():

@@ -27,8 +27,8 @@ MAX_VOCABULARY = 40_000
 MIN_SHARE = 1e-5
 #: Labelled examples are held on the driver; at most this many.
 MAX_EXAMPLES = 100_000
-PASSES = 5
-INNER = 8
+PASSES = 4
+INNER = 5
 BLOCK_WORDS = 16_384
 #: Each subject has a topic for each language, unless that makes more topics than this; then one for all.
 MAX_TOPICS = 200
@@ -37,7 +37,13 @@ ALPHA = 0.1
 SEED_WEIGHT = 5.0
 #: Topics of general wording for each language: of sentences with a subject, and of sentences without one.
 GENERAL_TOPICS = 2
+#: Topics for each language that begin with no word of their own: for what the examples don't treat.
+FREE_TOPICS = 2
+FREE_PRIOR = 0.05
 TOP_TERMS = 40
+#: A topic is of a subject if the examples know at least this share of its top terms and give the subject this share of them.
+KNOWN_TERMS = 0.15
+TOPIC_VOTES = 0.4
 #: A word is of a subject if the subject's topics explain at least this share of it,
 WORD_SHARE = 0.4
 #: and all subjects together this much (else it is general wording);
@@ -64,7 +70,9 @@ def sentences(text: str | None) -> list[list[str]]:
         return []
     out = []
     for _, p in pieces(prose(canonical(text) if not text.isascii() else text)):
-        w = _WORD.findall(_ASIDE.sub(" ", p).lower())
+        if "“" in p or '"' in p or "«" in p:
+            p = _ASIDE.sub(" ", p)
+        w = _WORD.findall(p.lower())
         if len(w) >= SENTENCE_WORDS and complete(p):
             out.append(w)
     return out
@@ -229,12 +237,13 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     words = sorted({*often, *seen} - stop)
     numbers = {w: i for i, w in enumerate(words)}
     corpus = materialised(numbered(docs, id_col, text_col, docs.sparkSession.sparkContext.broadcast(numbers)))
-    each = len(subjects) + GENERAL_TOPICS
+    each = len(subjects) + GENERAL_TOPICS + FREE_TOPICS
     groups = langs if langs and len(langs) * each <= MAX_TOPICS else [None]
     k, v = len(groups) * each, len(words)
     if not subjects or not v:
         return Model(words, subjects, np.full((max(k, 1), max(v, 1)), 1 / max(v, 1)), [None] * max(k, 1), np.zeros((len(subjects), max(v, 1)), np.float32), numbers), corpus
     prior = np.full((k, v), 0.01)
+    prior[len(subjects) + GENERAL_TOPICS :: each] = FREE_PRIOR
     for w, p in odds.items():
         if w in stop:
             continue
@@ -251,7 +260,7 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
         mass = _pass(corpus, mass / mass.sum(1, keepdims=True)) + prior
     topics = mass / mass.sum(1, keepdims=True)
     model = Model(words, subjects, topics, numbers=numbers)
-    model.subject_of = map_topics(model, {w: np.array([by[s] / max(1, sizes[s]) for s in subjects]) for w, by in seen.items()})
+    model.subject_of = map_topics(model, {w: np.array([by[s] / max(1, sizes[s]) for s in subjects]) for w, by in seen.items() if sum(by.values()) > 1})
     to = _to_subjects(model)
     model.word_subjects = ((to.T @ mass) / mass.sum(0)).astype(np.float32)
     return model, corpus
@@ -282,13 +291,14 @@ def top_terms(model: Model, n: int = TOP_TERMS) -> list[list[tuple[str, float]]]
 
 def map_topics(model: Model, odds: dict[str, np.ndarray]) -> list[str | None]:
     """The subject of each topic by its top terms: what the labelled examples say of those terms has
-    to point to one subject clearly; other topics are general wording."""
+    to point to one subject clearly, and there has to be enough of it; other topics are general
+    wording or what the examples don't treat. ``odds`` holds words of several sentences only."""
     out: list[str | None] = []
     for terms in top_terms(model):
         known = [odds[w] / odds[w].sum() for w, _ in terms if w in odds]
         votes = np.mean(known, axis=0) if known else np.zeros(len(model.subjects))
         best = int(votes.argmax())
-        out.append(model.subjects[best] if known and votes[best] >= 0.35 else None)
+        out.append(model.subjects[best] if len(known) >= KNOWN_TERMS * len(terms) and votes[best] >= TOPIC_VOTES else None)
     return out
 
 
