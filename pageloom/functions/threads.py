@@ -78,17 +78,3 @@ def section_digests(text: str) -> list[tuple[str, int, str]]:
 def replace_tagged(text: str, tag: str, value: str) -> tuple[str, int]:
     """The region between <!--tag--> and <!--/tag--> with a new value, and how often it was found."""
     return re.subn(rf"(<!--\s*{re.escape(tag)}\s*-->).*?(<!--\s*/{re.escape(tag)}\s*-->)", lambda m: m[1] + value + m[2], text, flags=re.S)
-
-
-HEADER_TYPES = {"noun", "verb", "adjective", "adverb", "translations", "synonyms", "etymology", "pronunciation"}
-
-
-def dictionary_header(line: str) -> tuple[str, int, str | None]:
-    """(contents, level, kind) of a header line of a dictionary page; unequal signs count by the smaller side."""
-    m = re.match(r"\s*(=+)\s*(.*?)\s*(=*)\s*$", line)
-    if not m:
-        template = re.match(r"\s*\{\{-?(.*?)-?\}\}\s*$", line)
-        return (template[1], 0, "template") if template else ("", 0, None)
-    contents = re.sub(r"[\[\]{}']", "", m[2]).strip("-")
-    kind = contents.lower() if contents.lower() in HEADER_TYPES else "language" if len(m[1]) <= 2 else "other"
-    return contents, min(len(m[1]), len(m[3]) or len(m[1])), kind

@@ -15,19 +15,23 @@ def distinct_revisions(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("revid").agg(F.min(F.struct(F.col("fetched_at").isNull().alias("n"), "fetched_at", *rest)).alias("r")).select("revid", "r.fetched_at", *[f"r.{c}" for c in rest])
 
 
+def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str, piece: str = "month") -> DataFrame:
+    """df with ``value`` of the key's row before (by time, nulls first, then ``tie``) in column ``out``;
+    null for a key's first row and for rows with a null key."""
+    rows = df.filter(F.col(key).isNotNull()).withColumn("__piece", F.date_trunc(piece, ts))
+    inside = Window.partitionBy(key, "__piece").orderBy(F.asc_nulls_first(ts), tie)
+    rows = rows.withColumn("__prev", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    ends = rows.groupBy(key, "__piece").agg(F.max(F.struct(ts, tie, value)).alias("e"))
+    ends = ends.withColumn("__before", F.lag(F.col(f"e.{value}")).over(Window.partitionBy(key).orderBy(F.asc_nulls_first("__piece")))).select(F.col(key).alias("__key"), F.col("__piece").alias("__p"), "__before")
+    found = rows.join(ends, (F.col(key) == F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__p")), "left")
+    known = found.withColumn(out, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))).drop("__piece", "__prev", "__first", "__key", "__p", "__before")
+    return known.unionByName(df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast(df.schema[value].dataType)))
+
+
 def previous_revision(revisions: DataFrame, page: str = "pageid", ts: str = "timestamp", rev: str = "revid") -> DataFrame:
     """revisions with previous_<rev> (null for a page's first). Ties of time go by number; rows with a
     null page have none."""
-    piece = F.date_trunc("month", ts)
-    rows = revisions.filter(F.col(page).isNotNull()).withColumn("__piece", piece)
-    inside = Window.partitionBy(page, "__piece").orderBy(F.asc_nulls_first(ts), rev)
-    rows = rows.withColumn("__prev", F.lag(rev).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    ends = rows.groupBy(page, "__piece").agg(F.max(F.struct(ts, rev)).alias("e"))
-    ends = ends.withColumn("__before", F.lag(F.col(f"e.{rev}")).over(Window.partitionBy(page).orderBy(F.asc_nulls_first("__piece")))).select(F.col(page).alias("__page"), F.col("__piece").alias("__p"), "__before")
-    found = rows.join(ends, (F.col(page) == F.col("__page")) & F.col("__piece").eqNullSafe(F.col("__p")), "left")
-    out = found.withColumn(f"previous_{rev}", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))).drop("__piece", "__prev", "__first", "__page", "__p", "__before")
-    none = revisions.filter(F.col(page).isNull()).withColumn(f"previous_{rev}", F.lit(None).cast(revisions.schema[rev].dataType))
-    return out.unionByName(none)
+    return previous_value(revisions.withColumn("__value", F.col(rev)), page, ts, rev, "__value", f"previous_{rev}").drop("__value")
 
 
 def creators(revisions: DataFrame) -> DataFrame:

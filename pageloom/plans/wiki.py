@@ -6,7 +6,7 @@ documents, contributions from revertbot, blocks from apispec, file history from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.functions import language, rewriting, scalars, titles, wikitext
 from pageloom.operators import blocks, graph, history, pages, watching
@@ -413,12 +413,12 @@ def duplicate_files(s, d):
     return pages.duplicates(_docs(s, d), F.col("text"), "doc_id")
 
 
-@query("""WITH h AS (SELECT title, md5(text) AS h, saved_at, doc_id FROM documents), p AS (SELECT *, lag(h) OVER (PARTITION BY title ORDER BY saved_at, doc_id) AS before FROM h)
+@query("""WITH h AS (SELECT title, md5(text) AS h, saved_at, doc_id FROM documents WHERE title IS NOT NULL), p AS (SELECT *, lag(h) OVER (PARTITION BY title ORDER BY saved_at NULLS FIRST, doc_id) AS before FROM h)
  SELECT title, count(*) AS saved, count(*) FILTER (before IS NOT NULL AND before <> h) AS changed FROM p GROUP BY title""")
 def section_changed(s, d):
-    w = Window.partitionBy("title").orderBy("saved_at", "doc_id")
-    h = _docs(s, d).select("title", "saved_at", "doc_id", F.md5("text").alias("h")).withColumn("before", F.lag("h").over(w))
-    return h.groupBy("title").agg(F.count("*").alias("saved"), F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("h"))).alias("changed"))
+    h = _docs(s, d).filter("title IS NOT NULL").select("title", "saved_at", "doc_id", F.md5("text").alias("h"))
+    p = history.previous_value(h, "title", "saved_at", "doc_id", "h", "before")
+    return p.groupBy("title").agg(F.count("*").alias("saved"), F.count_if(F.col("before").isNotNull() & (F.col("before") != F.col("h"))).alias("changed"))
 
 
 @query("""SELECT title, max_by(doc_id, (saved_at, doc_id)) AS doc_id, count(*) AS versions FROM documents WHERE title IS NOT NULL GROUP BY title""")
