@@ -93,28 +93,9 @@ class Model:
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, n) over all texts, counted in each task before the shuffle."""
-
-    def count(batches):
-        import pyarrow as pa
-
-        from pageloom.llm.topics import sentences
-
-        def flush(c):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-        c: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for s in sentences(t):
-                    c.update(s)
-            if len(c) > 500_000:
-                yield flush(c)
-                c = Counter()
-        if c:
-            yield flush(c)
-
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n) over all texts, in lower case; only to choose the vocabulary, so markup may count too."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(f"`{text_col}`")), r"\P{L}+")).alias("word"))
+    return words.filter(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFrame:
