@@ -236,50 +236,51 @@ def language_link_diff(s, d):
 _REVS = """rev AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY revid ORDER BY fetched_at NULLS LAST) AS n FROM revertbot) WHERE n = 1)"""
 
 
-def _revs(s, d) -> DataFrame:
-    return history.distinct_revisions(table(s, d, "revertbot"))
+def _revs(s, d, *columns: str) -> DataFrame:
+    """Each revision once; only these columns are read and shuffled."""
+    return history.distinct_revisions(table(s, d, "revertbot").select("revid", "fetched_at", *columns))
 
 
 @query(f"WITH {_REVS} SELECT revid, pageid, user_name, {TS.format('\"timestamp\"')} AS at, sizediff FROM rev")
 def distinct_revisions(s, d):
-    return _revs(s, d).select("revid", "pageid", "user_name", _text("timestamp").alias("at"), "sizediff")
+    return _revs(s, d, "pageid", "user_name", "timestamp", "sizediff").select("revid", "pageid", "user_name", _text("timestamp").alias("at"), "sizediff")
 
 
 @query(f"""WITH {_REVS} SELECT revid, pageid, CASE WHEN pageid IS NOT NULL THEN lag(revid) OVER (PARTITION BY pageid ORDER BY "timestamp" NULLS FIRST, revid) END AS previous_revid FROM rev""")
 def previous_revision(s, d):
-    return history.previous_revision(_revs(s, d)).select("revid", "pageid", "previous_revid")
+    return history.previous_revision(_revs(s, d, "pageid", "timestamp")).select("revid", "pageid", "previous_revid")
 
 
 @query(f"""WITH {_REVS}, r AS (SELECT *, row_number() OVER (PARTITION BY pageid ORDER BY "timestamp", revid) AS f, row_number() OVER (PARTITION BY pageid ORDER BY "timestamp" DESC, revid DESC) AS l FROM rev WHERE pageid <> 0 AND "timestamp" IS NOT NULL)
  SELECT pageid, max(CASE WHEN f = 1 THEN user_name END) AS creator, {TS.format('min("timestamp")')} AS created, max(CASE WHEN f = 1 THEN revid END) AS first_revid, max(CASE WHEN l = 1 THEN user_name END) AS last_editor, max(CASE WHEN l = 1 THEN revid END) AS last_revid, count(*) AS revisions FROM r GROUP BY pageid""")
 def creators(s, d):
-    return history.creators(_revs(s, d)).withColumn("created", _text("created"))
+    return history.creators(_revs(s, d, "pageid", "timestamp", "user_name")).withColumn("created", _text("created"))
 
 
 @query(f"WITH {_REVS} SELECT pageid, user_name, count(*) AS edits FROM rev WHERE user_name IS NOT NULL GROUP BY pageid, user_name")
 def page_editors(s, d):
-    return history.editors(_revs(s, d))
+    return history.editors(_revs(s, d, "pageid", "user_name"))
 
 
 @query(f"""WITH {_REVS}, r AS (SELECT user_name, revid, row_number() OVER (PARTITION BY user_name ORDER BY "timestamp" DESC NULLS LAST, revid DESC) AS rank FROM rev WHERE user_name IS NOT NULL) SELECT * FROM r WHERE rank <= 10""")
 def user_contributions(s, d):
-    return pages.first_per_key(_revs(s, d).filter("user_name IS NOT NULL").select("user_name", "revid", "timestamp"), ["user_name"], 10, F.desc_nulls_last("timestamp"), F.desc("revid")).drop("timestamp")
+    return pages.first_per_key(_revs(s, d, "user_name", "timestamp").filter("user_name IS NOT NULL").select("user_name", "revid", "timestamp"), ["user_name"], 10, F.desc_nulls_last("timestamp"), F.desc("revid")).drop("timestamp")
 
 
 @query(f"""WITH {_REVS}, r AS (SELECT pageid, revid, row_number() OVER (PARTITION BY pageid ORDER BY "timestamp" DESC NULLS LAST, revid DESC) AS rank FROM rev WHERE pageid <> 0) SELECT * FROM r WHERE rank <= 5""")
 def latest_editors(s, d):
-    return pages.first_per_key(_revs(s, d).filter("pageid <> 0").select("pageid", "revid", "timestamp"), ["pageid"], 5, F.desc_nulls_last("timestamp"), F.desc("revid")).drop("timestamp")
+    return pages.first_per_key(_revs(s, d, "pageid", "timestamp").filter("pageid <> 0").select("pageid", "revid", "timestamp"), ["pageid"], 5, F.desc_nulls_last("timestamp"), F.desc("revid")).drop("timestamp")
 
 
 @query(f"""WITH {_REVS}, l AS (SELECT pageid, max("timestamp") AS last_edit FROM rev WHERE pageid <> 0 GROUP BY pageid) SELECT pageid AS page_id, {TS.format('last_edit')} AS last_edit, row_number() OVER (ORDER BY last_edit, pageid) AS rank FROM l WHERE last_edit IS NOT NULL ORDER BY rank LIMIT 100""")
 def ancient_pages(s, d):
-    r = _revs(s, d).filter("pageid <> 0 AND timestamp IS NOT NULL").select(F.col("pageid").alias("page_id"), F.col("timestamp").alias("ts"))
+    r = _revs(s, d, "pageid", "timestamp").filter("pageid <> 0 AND timestamp IS NOT NULL").select(F.col("pageid").alias("page_id"), F.col("timestamp").alias("ts"))
     return pages.ancient(r, 100).withColumn("last_edit", _text("last_edit"))
 
 
 @query(f"""WITH {_REVS} SELECT pageid, count(*) AS edits FROM rev WHERE "timestamp" > TIMESTAMPTZ '2010-01-01 00:00:00+00' AND "timestamp" < TIMESTAMPTZ '2011-01-01 00:00:00+00' GROUP BY pageid""")
 def edit_time_filter(s, d):
-    r = _revs(s, d).filter((F.col("timestamp") > F.lit("2010-01-01").cast("timestamp")) & (F.col("timestamp") < F.lit("2011-01-01").cast("timestamp")))
+    r = _revs(s, d, "pageid", "timestamp").filter((F.col("timestamp") > F.lit("2010-01-01").cast("timestamp")) & (F.col("timestamp") < F.lit("2011-01-01").cast("timestamp")))
     return r.groupBy("pageid").agg(F.count("*").alias("edits"))
 
 
@@ -287,7 +288,7 @@ def edit_time_filter(s, d):
  p AS (SELECT revid, pageid, user_name, "top", CASE WHEN pageid IS NOT NULL THEN lag(revid) OVER (PARTITION BY pageid ORDER BY "timestamp" NULLS FIRST, revid) END AS previous_revid FROM rev)
  SELECT pageid, revid, previous_revid FROM p WHERE "top" AND user_name IN (SELECT user_name FROM u)""")
 def revert_targets(s, d):
-    r = _revs(s, d)
+    r = _revs(s, d, "pageid", "user_name", "timestamp", "top")
     user = r.filter("user_name IS NOT NULL").groupBy("user_name").count().orderBy(F.desc("count"), "user_name").limit(1).select(F.col("user_name").alias("who"))
     p = history.previous_revision(r)
     return p.join(F.broadcast(user), p["user_name"] == F.col("who"), "left_semi").filter("top").select("pageid", "revid", "previous_revid")
@@ -295,7 +296,7 @@ def revert_targets(s, d):
 
 @query(f"""WITH {_REVS} SELECT strftime("timestamp" AT TIME ZONE 'UTC', '%Y-%m') AS month, ns, count(*) AS edits, count(DISTINCT user_name) AS users, CAST(sum(sizediff) AS BIGINT) AS growth FROM rev GROUP BY ALL""")
 def edits_by_month(s, d):
-    return _revs(s, d).groupBy(F.date_format("timestamp", "yyyy-MM").alias("month"), "ns").agg(F.count("*").alias("edits"), F.countDistinct("user_name").alias("users"), F.sum("sizediff").alias("growth"))
+    return _revs(s, d, "timestamp", "ns", "user_name", "sizediff").groupBy(F.date_format("timestamp", "yyyy-MM").alias("month"), "ns").agg(F.count("*").alias("edits"), F.countDistinct("user_name").alias("users"), F.sum("sizediff").alias("growth"))
 
 
 @query("""SELECT user_id, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last_event FROM events WHERE event_type <> 'view' AND user_id % 10 <> 0 GROUP BY user_id""")
@@ -566,7 +567,7 @@ _WHITE = "w AS (SELECT DISTINCT user_name, CASE WHEN length(user_name) % 3 = 0 T
 @query(f"WITH {_WHITE}, {_REVS} SELECT revid FROM rev WHERE EXISTS (SELECT 1 FROM w WHERE w.user_name = rev.user_name AND starts_with(rev.title, w.prefix))")
 def whitelisted_edits(s, d):
     u = table(s, d, "revertbot").filter("user_name LIKE '%Badger%'").select("user_name", F.when(F.length("user_name") % 3 == 0, "").otherwise("Talk:").alias("prefix")).distinct()
-    return watching.whitelisted(_revs(s, d), u).select("revid")
+    return watching.whitelisted(_revs(s, d, "user_name", "title"), u).select("revid")
 
 
 _RULES = [("copyright", "contains", "copyright"), ("vandal", "matches", "(?i)^vandal"), ("proxy", "equals", "Open proxy"), ("link", "matches", r"\[\[")]
@@ -583,7 +584,7 @@ _AT = "TIMESTAMPTZ '2010-06-30 00:00:00+00'"
 @query(f"""WITH {_REVS}, n AS (SELECT pageid, arg_max(revid, ("timestamp", revid)) AS r FROM rev WHERE pageid IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY pageid), b AS (SELECT pageid, arg_max(revid, ("timestamp", revid)) AS r FROM rev WHERE pageid IS NOT NULL AND "timestamp" <= {_AT} GROUP BY pageid)
  SELECT coalesce(n.pageid, b.pageid) AS pageid, CASE WHEN b.pageid IS NULL THEN 'new' WHEN n.pageid IS NULL THEN 'closed' WHEN n.r = b.r THEN 'unchanged' ELSE 'changed' END AS status FROM n FULL JOIN b ON n.pageid = b.pageid""")
 def page_news(s, d):
-    log = _revs(s, d).filter("pageid IS NOT NULL AND timestamp IS NOT NULL").select("pageid", "timestamp", "revid")
+    log = _revs(s, d, "pageid", "timestamp").filter("pageid IS NOT NULL AND timestamp IS NOT NULL").select("pageid", "timestamp", "revid")
     before = watching.state_as_of(log, "pageid", "timestamp", F.lit("2010-06-30").cast("timestamp"), "revid")
     return watching.news(history.latest_per_key(log, "pageid", "timestamp", "revid"), before, "pageid", "revid")
 
@@ -591,7 +592,7 @@ def page_news(s, d):
 @query(f"""WITH {_REVS}, g AS (SELECT user_name, "timestamp" AS t, CASE WHEN epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY user_name ORDER BY "timestamp")) < 86400000000 THEN 0 ELSE 1 END AS b FROM rev WHERE user_name IS NOT NULL AND "timestamp" IS NOT NULL),
  n AS (SELECT *, sum(b) OVER (PARTITION BY user_name ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_name, {TS.format('min(t)')} AS begin, {TS.format('max(t)')} AS "end", count(*) AS edits FROM n GROUP BY user_name, k""")
 def edit_sessions(s, d):
-    return watching.sessions(_revs(s, d).select("user_name", "timestamp"), "user_name", "timestamp", 86400).withColumns({c: _text(c) for c in ("begin", "end")})
+    return watching.sessions(_revs(s, d, "user_name", "timestamp").select("user_name", "timestamp"), "user_name", "timestamp", 86400).withColumns({c: _text(c) for c in ("begin", "end")})
 
 
 @query(r"""SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1""")
