@@ -21,8 +21,8 @@ def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: str, out:
     rows = df.filter(F.col(key).isNotNull()).withColumn("__piece", F.date_trunc(piece, ts))
     inside = Window.partitionBy(key, "__piece").orderBy(F.asc_nulls_first(ts), tie)
     rows = rows.withColumn("__prev", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    ends = rows.groupBy(key, "__piece").agg(F.max(F.struct(ts, tie, value)).alias("e"))
-    ends = ends.withColumn("__before", F.lag(F.col(f"e.{value}")).over(Window.partitionBy(key).orderBy(F.asc_nulls_first("__piece")))).select(F.col(key).alias("__key"), F.col("__piece").alias("__p"), "__before")
+    ends = rows.groupBy(key, "__piece").agg(F.max(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(value).alias("x"))).alias("e"))
+    ends = ends.withColumn("__before", F.lag("e.x").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("__piece")))).select(F.col(key).alias("__key"), F.col("__piece").alias("__p"), "__before")
     found = rows.join(ends, (F.col(key) == F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__p")), "left")
     known = found.withColumn(out, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))).drop("__piece", "__prev", "__first", "__key", "__p", "__before")
     return known.unionByName(df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast(df.schema[value].dataType)))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from pageloom.operators.history import previous_value
 
 
 def whitelisted(edits: DataFrame, whitelist: DataFrame) -> DataFrame:
@@ -46,7 +48,17 @@ def news(now: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def sessions(edits: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:
-    """(user, begin, end, edits) of runs of edits with less than the gap between them; a built-in
-    session window, so a busy user's sessions are merged piece by piece."""
-    g = edits.filter(F.col(ts).isNotNull() & F.col(user).isNotNull()).groupBy(user, F.session_window(ts, f"{gap_seconds} seconds").alias("w"))
-    return g.agg(F.min(ts).alias("begin"), F.max(ts).alias("end"), F.count("*").alias("edits")).drop("w")
+    """(user, begin, end, edits) of runs of edits with less than the gap between them. Sessions are
+    numbered inside (user, month) and then by the numbers of the months before, so that a user who
+    made a third of all edits is no single task. Rows with a null user or time belong to none."""
+    e = edits.filter(F.col(ts).isNotNull() & F.col(user).isNotNull()).select(F.col(user).alias("u"), F.col(ts).alias("t"), F.col(ts).alias("v"))
+    rows = previous_value(e, "u", "t", "v", "v", "before")
+    new = F.when(F.col("before").isNull() | (F.unix_micros("t") - F.unix_micros("before") >= gap_seconds * 1_000_000), 1).otherwise(0)
+    rows = rows.select("u", "t", new.alias("new"), F.date_trunc("month", "t").alias("piece"))
+    rows = rows.withColumn("k", F.sum("new").over(Window.partitionBy("u", "piece").orderBy("t", F.desc("new")).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy("u", "piece", "k").agg(F.min("t").alias("begin"), F.max("t").alias("end"), F.count("*").alias("edits"))
+    before = rows.groupBy("u", "piece").agg(F.sum("new").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("u").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.join(before.select("u", "piece", F.coalesce(earlier, F.lit(0)).alias("earlier")), ["u", "piece"])
+    g = parts.groupBy("u", (F.col("earlier") + F.col("k")).alias("session")).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("edits").alias("edits"))
+    return g.select(F.col("u").alias(user), "begin", "end", "edits")

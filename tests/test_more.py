@@ -1,6 +1,8 @@
 import io
 import mailbox
+import random
 import zipfile
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,23 @@ def test_watching(spark):
     assert spark.range(1).select(watching.first_rule(F.lit("x"), [])).first()[0] is None
 
 
+def test_sessions_over_months(spark):
+    rng = random.Random(6)
+    t0 = datetime(2010, 1, 29)
+    ev = [("hot" if rng.random() < 0.5 else f"u{rng.randrange(5)}", t0 + timedelta(hours=rng.randrange(24 * 200))) for _ in range(1500)] + [(None, t0), ("x", None), ("x", t0), ("x", t0)]
+    want = set()
+    for u in {u for u, _ in ev if u}:
+        times = sorted(t for v, t in ev if v == u and t)
+        run = []
+        for t in [*times, None]:
+            if run and (t is None or t - run[-1] >= timedelta(hours=9)):
+                want.add((u, run[0], run[-1], len(run)))
+                run = []
+            run.append(t)
+    got = {tuple(r) for r in watching.sessions(spark.createDataFrame(ev, "u string, t timestamp"), "u", "t", 9 * 3600).collect()}
+    assert got == want
+
+
 def test_files(spark, tmp_path):
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
