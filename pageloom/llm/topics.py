@@ -122,8 +122,9 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFra
 # ---- inference --------------------------------------------------------------------------------
 
 
-def infer(topics: np.ndarray, words: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean-field inference of a block of documents: each word's topic shares, each document's counts."""
+def infer(topics: np.ndarray, words: np.ndarray, doc: np.ndarray, n_docs: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Mean-field inference of a block of documents (in order): the topic shares of each word, or of
+    each different word that comes so many ``times``, and each document's counts."""
     k = topics.shape[0]
     like = np.take(topics.T, words, axis=0)
     theta = np.full((n_docs, k), 1.0, np.float32)
@@ -133,7 +134,7 @@ def infer(topics: np.ndarray, words: np.ndarray, doc: np.ndarray, n_docs: int) -
         r = like * np.take(theta, doc, axis=0)
         r *= 1 / (r.sum(1, keepdims=True) + np.float32(1e-30))
         theta = np.full((n_docs, k), ALPHA, np.float32)
-        theta[doc[begin]] += np.add.reduceat(r, begin, axis=0)
+        theta[doc[begin]] += np.add.reduceat(r if times is None else r * times, begin, axis=0)
     return r, theta
 
 
@@ -165,7 +166,11 @@ def _pass(corpus: DataFrame, topics: np.ndarray) -> np.ndarray:
         for b in batches:
             for part, words, doc in _blocks(b):
                 if len(words):
-                    r, _ = infer(t, words, doc, part.num_rows)
+                    # a document's equal words have equal shares
+                    pair, times = np.unique(doc.astype(np.int64) * v + words, return_counts=True)
+                    doc, words, times = pair // v, pair % v, times[:, None].astype(np.float32)
+                    r, _ = infer(t, words, doc, part.num_rows, times)
+                    r *= times
                     order = np.argsort(words, kind="stable")
                     ws = words[order]
                     begin = np.flatnonzero(np.diff(ws, prepend=-1))
