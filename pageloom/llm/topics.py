@@ -109,12 +109,16 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFra
 
         get = vocabulary.value.get
         for b in batches:
-            words, lengths = [], []
+            words, lengths, ends, sentence_ends = [], [], [0], [0]
             for t in b.column(1).to_pylist():
-                found = [[k for w in s if (k := get(w)) is not None] for s in sentences(t)]
-                words.append([k for s in found for k in s])
-                lengths.append([len(s) for s in found])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32()))], names=["doc_id", "words", "lengths"])
+                for s in sentences(t):
+                    before = len(words)
+                    words += [k for w in s if (k := get(w)) is not None]
+                    lengths.append(len(words) - before)
+                ends.append(len(words))
+                sentence_ends.append(len(lengths))
+            flat = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, pa.int32())) for e, x in ((ends, words), (sentence_ends, lengths))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *flat], names=["doc_id", "words", "lengths"])
 
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(number, "doc_id bigint, words array<int>, lengths array<int>")
 
@@ -153,6 +157,12 @@ def _blocks(b):
         a = z
 
 
+def different(words: np.ndarray, doc: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, words and times of the different words of each document: equal words have equal shares."""
+    pair, times = np.unique(doc.astype(np.int64) * v + words, return_counts=True)
+    return pair // v, pair % v, times[:, None].astype(np.float32)
+
+
 def _pass(corpus: DataFrame, topics: np.ndarray) -> np.ndarray:
     """Topic counts of each word over all documents."""
     k, v = topics.shape
@@ -166,9 +176,7 @@ def _pass(corpus: DataFrame, topics: np.ndarray) -> np.ndarray:
         for b in batches:
             for part, words, doc in _blocks(b):
                 if len(words):
-                    # a document's equal words have equal shares
-                    pair, times = np.unique(doc.astype(np.int64) * v + words, return_counts=True)
-                    doc, words, times = pair // v, pair % v, times[:, None].astype(np.float32)
+                    doc, words, times = different(words, doc, v)
                     r, _ = infer(t, words, doc, part.num_rows, times)
                     r *= times
                     order = np.argsort(words, kind="stable")
@@ -301,7 +309,8 @@ def _to_subjects(model: Model) -> np.ndarray:
 def word_scores(topics, to, word_subjects, words, doc, n_docs) -> np.ndarray:
     """How much each word speaks for each subject: its shares over the whole corpus, weighed by the
     document's topic proportions, so that a word of several subjects goes with its document."""
-    _, theta = infer(topics, words, doc, n_docs)
+    d, w, times = different(words, doc, topics.shape[1])
+    _, theta = infer(topics, w, d, n_docs, times)
     of_doc = theta @ to + DOC_PRIOR
     own = word_subjects.T[words]
     total = own.sum(1, keepdims=True)
