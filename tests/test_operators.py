@@ -61,9 +61,9 @@ def test_page_query(spark):
     assert ids("-prefixindex:A", "-cat:C", "-limit:1") == [1] and ids("-start:", "-long:1", "-ns:0", "-titleregex:.b$") == [2]
 
 
-XML = """<mediawiki xmlns="http://example.org/export-0.3/"><siteinfo><sitename>S</sitename><base>b</base><generator>g</generator><case>first-letter</case><namespaces><namespace key="0" /><namespace key="14">Category</namespace></namespaces></siteinfo>
+XML = """<export xmlns="http://example.org/export-0.3/"><siteinfo><sitename>S</sitename><base>b</base><generator>g</generator><case>first-letter</case><namespaces><namespace key="0" /><namespace key="14">Category</namespace></namespaces></siteinfo>
 <page><title>Pear</title><id>7</id><restrictions>edit=sysop:move=autoconfirmed</restrictions><revision><id>1</id><timestamp>2002-02-25T15:43:11Z</timestamp><contributor><ip>Conversion script</ip></contributor><minor /><comment>c</comment><text xml:space="preserve">one &lt;b&gt;</text></revision><revision><id>2</id><timestamp>2002-03-25T15:43:11Z</timestamp><contributor><username>Q</username><id>5</id></contributor><text xml:space="preserve" /></revision></page>
-<page><title>P2</title><id>8</id><redirect /><revision><id>3</id><timestamp>x</timestamp><contributor><username>Q</username></contributor><text>#REDIRECT [[Pear#a|b]]</text></revision></page></mediawiki>"""
+<page><title>P2</title><id>8</id><redirect /><revision><id>3</id><timestamp>x</timestamp><contributor><username>Q</username></contributor><text>#REDIRECT [[Pear#a|b]]</text></revision></page></export>"""
 
 
 def test_dump(spark, tmp_path):
