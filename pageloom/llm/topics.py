@@ -28,6 +28,9 @@ MIN_SHARE = 1e-5
 #: Labelled examples are held on the driver; at most this many.
 MAX_EXAMPLES = 100_000
 PASSES = 4
+#: After so many passes a word has to have at least this share of its occurrences with one subject to count for any.
+EARLY_PASSES = 1
+EARLY_SHARE = 0.3
 INNER = 5
 BLOCK_WORDS = 16_384
 #: Each subject has a topic for each language, unless that makes more topics than this; then one for all.
@@ -249,14 +252,18 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
             prior[at : at + len(subjects), numbers[w]] += weight * (with_subject + bare) * (1 - general[w]) * p
             prior[at + len(subjects), numbers[w]] += weight * with_subject * general[w]
             prior[at + len(subjects) + 1, numbers[w]] += weight * bare * general[w]
-    mass = prior
-    for _ in range(passes):
+    mass = early = prior
+    for i in range(passes):
         mass = _pass(corpus, mass / mass.sum(1, keepdims=True)) + prior
+        early = mass if i < EARLY_PASSES else early
     topics = mass / mass.sum(1, keepdims=True)
     model = Model(words, subjects, topics, numbers=numbers)
     model.subject_of = map_topics(model, {w: np.array([by[s] / max(1, sizes[s]) for s in subjects]) for w, by in seen.items() if sum(by.values()) > 1})
     to = _to_subjects(model)
-    model.word_subjects = ((to.T @ mass) / mass.sum(0)).astype(np.float32)
+    # later passes let a topic take in whole turns of phrase; words count for a subject only if the
+    # documents spoke for it when topics were still what the examples say
+    sure = ((to.T @ early) / early.sum(0)).max(0) >= EARLY_SHARE
+    model.word_subjects = ((to.T @ mass) / mass.sum(0) * sure).astype(np.float32)
     return model, corpus
 
 
