@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pageloom.operators.timestamps import normalised_instants
+
 ISO = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"
 ENDLESS = ("infinity", "infinite", "indefinite", "never")
 
 
 def instant(c: Column) -> Column:
-    """Timestamp of text in the canonical form; null for all other text (normalise first to keep it)."""
+    """Timestamp of text in the canonical form; null for all other text (``with_instant`` reads that too)."""
     return F.when(c.rlike(ISO), F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
 
 
+def with_instant(df: DataFrame, column: str, sites: DataFrame, out: str) -> DataFrame:
+    """df with the instant that a text column names, in whatever form, as a timestamp in ``out``; wall
+    clock times count in the zone of the record's site. The canonical form is read without Python."""
+    plain = instant(F.col(column))
+    got = normalised_instants(df, F.when(plain.isNull(), F.col(column)), F.col("site"), sites, "__norm")
+    return got.withColumn(out, F.coalesce(plain, instant(F.col("__norm")))).drop("__norm")
+
+
 def kind(df: DataFrame) -> Column:
     """auto (no user), range, anon, or user."""
     return F.when(F.col("user_name").isNull(), "auto").when(F.col("rangestart").isNotNull() & (F.col("rangestart") != F.col("rangeend")), "range").when(F.col("userid") == "0", "anon").otherwise("user")
@@ -22,26 +32,25 @@ def endless(df: DataFrame) -> DataFrame:
     return df.filter(F.lower("expiry").isin(*ENDLESS))
 
 
-def finite(df: DataFrame) -> DataFrame:
-    return df.filter(F.trim("expiry").rlike(r"^\d"))
+def finite(df: DataFrame, end: Column) -> DataFrame:
+    """Blocks that end: the expiry begins with a digit, or names an instant (``end``) in words."""
+    return df.filter(F.trim("expiry").rlike(r"^\d") | end.isNotNull())
 
 
-def expiring(df: DataFrame, after: str | None = None, until: str | None = None) -> DataFrame:
-    t = instant(F.col("expiry"))
-    out = df.filter(t.isNotNull())
+def expiring(df: DataFrame, end: Column, after: str | None = None, until: str | None = None) -> DataFrame:
+    out = df.filter(end.isNotNull())
     if after is not None:
-        out = out.filter(t > F.lit(after).cast("timestamp"))
-    return out.filter(t <= F.lit(until).cast("timestamp")) if until is not None else out
+        out = out.filter(end > F.lit(after).cast("timestamp"))
+    return out.filter(end <= F.lit(until).cast("timestamp")) if until is not None else out
 
 
-def durations(df: DataFrame) -> DataFrame:
+def durations(df: DataFrame, begin: Column, end: Column) -> DataFrame:
     """Whole days from a block's time to its expiry, where both are instants."""
-    return df.withColumn("days", F.floor((F.unix_timestamp(instant(F.col("expiry"))) - F.unix_timestamp(instant(F.col("timestamp")))) / 86400)).filter("days IS NOT NULL")
+    return df.withColumn("days", F.floor((F.unix_timestamp(end) - F.unix_timestamp(begin)) / 86400)).filter("days IS NOT NULL")
 
 
-def between(df: DataFrame, start: str, end: str) -> DataFrame:
-    t = instant(F.col("timestamp"))
-    return df.filter(t.between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+def between(df: DataFrame, at: Column, start: str, end: str) -> DataFrame:
+    return df.filter(at.between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
 
 
 def address_number(ip: Column) -> Column:

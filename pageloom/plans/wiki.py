@@ -454,18 +454,46 @@ _INSTANT = "CASE WHEN regexp_matches({0}, '^\\d{{4}}-\\d\\d-\\d\\dT\\d\\d:\\d\\d
 @query("""SELECT kind, count(*) AS blocks, count(*) FILTER (lower(expiry) IN ('infinity', 'infinite', 'indefinite', 'never')) AS endless, count(*) FILTER (regexp_matches(trim(expiry), '^\\d')) AS finite FROM
  (SELECT expiry, CASE WHEN user_name IS NULL THEN 'auto' WHEN rangestart IS NOT NULL AND rangestart <> rangeend THEN 'range' WHEN userid = '0' THEN 'anon' ELSE 'user' END AS kind FROM apispec) GROUP BY kind""")
 def block_lists(s, d):
+    """finite holds what begins with a digit, as in the SQL; block_lists_all_forms has the rest."""
     a = table(s, d, "apispec")
     return a.withColumn("kind", blocks.kind(a)).groupBy("kind").agg(F.count("*").alias("blocks"), F.count_if(F.lower("expiry").isin(*blocks.ENDLESS)).alias("endless"), F.count_if(F.trim("expiry").rlike(r"^\d")).alias("finite"))
 
 
 @query(f"""SELECT delivery_no, CAST(floor((epoch({_INSTANT.format('expiry')}) - epoch({_INSTANT.format('"timestamp"')})) / 86400) AS BIGINT) AS days FROM apispec WHERE {_INSTANT.format('expiry')} IS NOT NULL AND {_INSTANT.format('"timestamp"')} IS NOT NULL""")
 def block_durations(s, d):
-    return blocks.durations(table(s, d, "apispec")).select("delivery_no", "days")
+    """Only records whose times are written in the canonical form, as in the SQL; block_durations_all_forms has the rest."""
+    return blocks.durations(table(s, d, "apispec"), blocks.instant(F.col("timestamp")), blocks.instant(F.col("expiry"))).select("delivery_no", "days")
 
 
 @query(f"""SELECT by_name, count(*) AS blocks FROM apispec WHERE {_INSTANT.format('"timestamp"')} BETWEEN TIMESTAMPTZ '2009-01-01 00:00:00+00' AND TIMESTAMPTZ '2010-01-01 00:00:00+00' GROUP BY by_name""")
 def blocks_between(s, d):
-    return blocks.between(table(s, d, "apispec"), "2009-01-01", "2010-01-01").groupBy("by_name").agg(F.count("*").alias("blocks"))
+    """Only records whose time is written in the canonical form, as in the SQL; blocks_between_all_forms has the rest."""
+    return blocks.between(table(s, d, "apispec"), blocks.instant(F.col("timestamp")), "2009-01-01", "2010-01-01").groupBy("by_name").agg(F.count("*").alias("blocks"))
+
+
+def _timed_blocks(s, d, **columns):
+    """Block records with the instants of text columns, in whatever form these are written."""
+    a = table(s, d, "apispec")
+    for out, column in columns.items():
+        a = blocks.with_instant(a, column, table(s, d, "wiki_site"), out)
+    return a
+
+
+@query()
+def block_lists_all_forms(s, d):
+    a = _timed_blocks(s, d, ends="expiry")
+    end = F.trim("expiry").rlike(r"^\d") | F.col("ends").isNotNull()
+    return a.withColumn("kind", blocks.kind(a)).groupBy("kind").agg(F.count("*").alias("blocks"), F.count_if(F.lower("expiry").isin(*blocks.ENDLESS)).alias("endless"), F.count_if(end).alias("finite"))
+
+
+@query()
+def block_durations_all_forms(s, d):
+    return blocks.durations(_timed_blocks(s, d, begins="timestamp", ends="expiry"), F.col("begins"), F.col("ends")).select("delivery_no", "days")
+
+
+@query()
+def blocks_between_all_forms(s, d):
+    return blocks.between(_timed_blocks(s, d, at="timestamp"), F.col("at"), "2009-01-01", "2010-01-01").groupBy("by_name").agg(F.count("*").alias("blocks"))
 
 
 @query("""SELECT flag, count(*) AS blocks FROM (SELECT unnest(flags) AS flag FROM apispec) GROUP BY flag""")
