@@ -311,8 +311,17 @@ def log_pages(s, d):
 
 @query("""WITH e AS (SELECT CAST(event_id % 97 AS BIGINT) AS page, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) SELECT page, min(t) AS first_seen, max(t) AS last_seen, count(DISTINCT t // 3600) AS slots, max(t) - min(t) > 7 * 86400 AS report FROM e GROUP BY page""")
 def dead_link_report(s, d):
-    e = table(s, d, "events").select((F.col("event_id") % 97).cast("bigint").alias("page"), F.col("ts").cast("timestamp").alias("ts"))
-    return history.first_and_last_seen(e, "page", "ts").withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
+    """Counts hours by the clock, as the SQL does; dead_link_sightings counts by the reference's rule."""
+    return history.first_and_last_seen(_sightings(s, d), "page", "ts").withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
+
+
+def _sightings(s, d):
+    return table(s, d, "events").select((F.col("event_id") % 97).cast("bigint").alias("page"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query()
+def dead_link_sightings(s, d):
+    return history.counted_sightings(_sightings(s, d), "page", "ts").withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
 
 
 # ---- wikitext ---------------------------------------------------------------------------------
