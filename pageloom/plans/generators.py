@@ -77,7 +77,7 @@ def _titled(r: Relations, title: str) -> DataFrame:
 def _members(r: Relations, title: str, recurse: bool, subcategories: bool = False) -> DataFrame:
     title, _, start = title.partition("|")
     root = _titled(r, f"Category:{title}").select(F.col("page_id").alias("node"))
-    found = graph.closure(r.category.select(F.col("category").alias("parent"), F.col("member").alias("child")), root, 10 if recurse else 1).filter("depth > 0")
+    found = graph.closure(r.category.select(F.col("category").alias("parent"), F.col("member").alias("child")), root, None if recurse else 1).filter("depth > 0")
     out = r.page.join(found.select(F.col("node").alias("page_id")).distinct(), "page_id", "left_semi").filter(F.col("title") >= start)
     return out.filter("ns = 14") if subcategories else out.filter("ns <> 14")
 
