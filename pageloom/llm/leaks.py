@@ -24,7 +24,12 @@ BLOCK_ITEMS = 20_000
 #: More items than this are refused, as they are held on the driver.
 MAX_ITEMS = 2_000_000
 
-_MARKUP = re.compile(r"<!--.*?-->|<[^<>]*>|\[\[[^\[\]|]*\||'{2,5}|\[(?:https?|ftp)://\S*", re.S)
+#: A tag: a name, attributes with values, and between them fewer loose words than a run has, so that
+#: a '<' and a later '>' of the text hide no run. Comments are text: their marks are no words.
+_VALUE = r"""\s+[\w:.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
+_LOOSE = r"""(?>[^\w<>]+)(?![\w:.-]+\s*=)\w+"""
+_TAG = rf"</?[A-Za-z][\w:-]*+(?:(?>(?:{_LOOSE}){{0,{RUN - 1}}})(?>{_VALUE}))*+(?>(?:{_LOOSE}){{0,{RUN - 1}}})[^\w<>]*+>"
+_MARKUP = re.compile(_TAG + r"|\[\[[^\[\]|]*\||'{2,5}|\[(?:https?|ftp)://\S*", re.S)
 _NOT_WORD = re.compile(r"[\W_]+")
 _SIMPLE = str.maketrans({chr(i): " " for i in range(128) if not chr(i).isalnum()})
 

@@ -62,3 +62,14 @@ def test_operator(spark):
     got = sorted((r.doc_id, r.item_id) for r in leaks(docs, items).collect())
     assert got == [(1, 1), (1, 1), (1, 3), (1, 3)]
     assert leaks(docs, items.limit(0)).count() == 0 and leaks(docs.limit(0), items).count() == 0
+
+
+def test_signs_that_are_no_tags():
+    finder = LeakFinder([(1, ITEM)])
+    for t in ["if x < 3 then " + ITEM + " and y > 2", "a <- b. " + ITEM + " c -> d", "i<n " + ITEM + " n>i", "x <!-- " + ITEM + " --> y", "<p>" + ITEM + "</p>"]:
+        (hit,) = finder.find(t)
+        assert hit[:3] == (1, 11, 11) and len(word_spans(t)) == len(plain(t).split())
+    long = "<td nowrap align=center title=\"" + "many words " * 40 + "\" style='a: b' valign = top />"
+    for tag in ["<br>", "<br />", "</B>", "<ref name=Foo Bar>", '<ref name="a b"/>', "<td nowrap>", "<br clear=all / >", "<references\n/>", long]:
+        assert plain(f"a{tag}b") == " a b "
+    assert plain("<a " + "x=1 " * 50_000) and plain("<" * 50_000) and plain("<a " + "b " * 50_000)
