@@ -27,6 +27,14 @@ SPELLINGS = {
     "es": "es spa spanish español espanol castellano",
 }
 NO_LANGUAGE = "und xx unknown mul zxx mis none null n/a"
+# The commonest function words of each language.
+FUNCTION_WORDS = {
+    "en": "the of and to in is was for on that with as by at from are were this it be has have not which or an had but they their been after will would also when who there more into than we he about",
+    "nl": "de het een van en in is op te dat die voor met zijn aan als door niet ook naar bij maar om nog werd worden heeft over uit tot dan deze dit wordt waren hebben geen ze ik zo je was had",
+    "de": "der die und das den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über war in so vor hatte",
+    "fr": "le la les des et en du une que est pour dans qui par au il sur pas plus ce avec sont aux se ne cette été mais ou son ses leur comme était elle sa nous être deux un de a on",
+    "es": "el la los las de del en y que un una es por con para se no al lo su como más pero sus le ya este fue ha está son entre cuando muy sin sobre también ser me si a o",
+}
 
 #: The model is fitted on at most this many labelled texts of each language, taken by the hash of their key.
 TRAIN_TEXTS = 400
@@ -37,8 +45,17 @@ GRAM_SCALE = 0.15
 BUCKETS = 1 << 15
 #: A sentence has at least this many words of its language.
 SENTENCE_WORDS = 4
-#: and the mean probability of its language over its words is at least this.
+#: and the mean probability of its language over its words is at least this,
 SENTENCE_CONFIDENCE = 0.8
+#: and at least this share of its words (but for unknown capitalised ones) is known to the language: else it is in none of LANGUAGES.
+SENTENCE_KNOWN = 0.3
+#: A sentence is a training example of the language that the first model gives it with at least this mean probability.
+TRAIN_CONFIDENCE = 0.9
+#: Words of sentences (padded to the longest) that go through forward-backward at once.
+BLOCK_WORDS = 1 << 18
+#: A run of words in another language than its neighbours' is a segment if it has so many words or is this sure.
+RUN_WORDS = 2
+RUN_CONFIDENCE = 0.95
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTED = re.compile(r"\([^()]{0,80}\)|[„“\"«‘][^„“”\"«»‘’\n]{1,40}[”“\"»’]")
 _WORD_CACHE = 300_000
@@ -61,6 +78,23 @@ def label_column(c: Column) -> Column:
     return out.otherwise(base)
 
 
+_LISTED: dict[str, list[int]] = {}
+for _k, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in _words.split():
+        _LISTED.setdefault(_w, []).append(_k)
+
+
+def by_function_words(words: list[str], label: int) -> int | None:
+    """The language whose function words the sentence holds most; a word of several languages counts
+    in part for each, the label as half a word. None where no language leads clearly."""
+    score = [0.5 * (k == label) for k in range(len(LANGUAGES))]
+    for w in words:
+        for k in (own := _LISTED.get(w.lower(), ())):
+            score[k] += 1 / len(own)
+    best, second = sorted(range(len(score)), key=lambda k: -score[k])[:2]
+    return best if score[best] >= max(1.0, score[second] + 0.25) else None
+
+
 def _features(word: str) -> list[int]:
     """Hashed prefixes, suffixes and inner n-grams of a lower-case word."""
     w = f"^{word}$"
@@ -78,6 +112,7 @@ class Model:
     start: np.ndarray
     ids: dict[str, int] = field(default_factory=dict)
     rows: list[np.ndarray] = field(default_factory=list)
+    known: list[tuple[bool, ...]] = field(default_factory=list)
     _table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -95,6 +130,22 @@ class Model:
         out = self.gram_weights[_features(low)].sum(0)
         return out + self.word_weights[known] if known is not None else out
 
+    def known_to(self, word: str) -> np.ndarray:
+        """The languages that know a word better than others do, and last whether it says anything."""
+        low = word.lower()
+        at = self.lexicon.get(low)
+        if at is None:
+            return np.array([False] * len(LANGUAGES) + [word[0] == low[0]])
+        return np.append(self.word_weights[at] > 0, True)
+
+    def share_known(self, ids: list[int], language: int) -> float:
+        """The share of a sentence's telling words that the language knows."""
+        mine = tell = 0
+        for i in ids:
+            x = self.known[i]
+            mine, tell = mine + x[language], tell + x[-1]
+        return mine / tell if tell else 0.0
+
     def ids_of(self, words: list[str]) -> list[int]:
         ids = self.ids
         try:
@@ -104,12 +155,13 @@ class Model:
                 if w not in ids:
                     ids[w] = len(self.rows)
                     self.rows.append(self.score(w))
+                    self.known.append(tuple(self.known_to(w).tolist()))
             return [ids[w] for w in words]
 
     def trim(self) -> None:
         """Bounds the lookup of words; it is refilled as words come."""
         if len(self.ids) > _WORD_CACHE:
-            self.ids, self.rows, self._table = {}, [], None
+            self.ids, self.rows, self.known, self._table = {}, [], [], None
 
     def table(self) -> np.ndarray:
         n = 0 if self._table is None else len(self._table)
@@ -124,9 +176,13 @@ class Model:
         order = np.argsort([len(s) for s in sentences], kind="stable")
         table = self.table()
         step, start = np.exp(self.transitions).astype(np.float32), np.exp(self.start).astype(np.float32)
-        for k in range(0, len(order), 4096):
-            part = order[k : k + 4096]
-            lengths = np.array([len(sentences[i]) for i in part])
+        sizes = np.array([len(sentences[i]) for i in order])
+        k = 0
+        while k < len(order):
+            z = k + 1  # sentences come by length, so the last of a block is its longest
+            while z < len(order) and z - k < 4096 and (z + 1 - k) * sizes[z] <= BLOCK_WORDS:
+                z += 1
+            part, lengths, k = order[k:z], sizes[k:z], z
             if not lengths[-1]:
                 for i in part:
                     out[i] = np.zeros((0, len(LANGUAGES)), np.float32)
@@ -140,8 +196,10 @@ class Model:
         return out
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Marginals (sentence, word, language); emit holds exp of scores; words past a length don't count."""
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: np.ndarray, with_pairs: bool = False):
+    """Marginals (sentence, word, language); emit holds exp of scores; words past a length don't count.
+    ``with_pairs``: also the expected number of each transition, from the marginals of neighbours
+    (forward x step x emission x backward)."""
     n, t, k = emit.shape
     f = np.empty((t, n, k), np.float32)
     e = np.ascontiguousarray(emit.transpose(1, 0, 2))
@@ -152,48 +210,69 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, step: np.ndarray, st
         a = (f[j - 1] @ step) * e[j]
         f[j] = a / (a.sum(1, keepdims=True) + tiny)
     b = np.ones((n, k), np.float32)
+    pairs = np.zeros((k, k))
     for j in range(t - 2, -1, -1):
-        nb = (e[j + 1] * b) @ step.T
+        right = e[j + 1] * b
+        inside = j + 1 < lengths
+        if with_pairs:
+            joint = f[j][:, :, None] * step[None] * right[:, None, :]
+            joint /= joint.sum((1, 2), keepdims=True) + tiny
+            pairs += joint[inside].sum(0)
+        nb = right @ step.T
         nb /= nb.sum(1, keepdims=True) + tiny
-        b = np.where((j + 1 < lengths)[:, None], nb, np.float32(1))
+        b = np.where(inside[:, None], nb, np.float32(1))
         f[j] *= b
     f /= f.sum(2, keepdims=True) + tiny
-    return f.transpose(1, 0, 2)
+    m = f.transpose(1, 0, 2)
+    return (m, pairs) if with_pairs else m
 
 
-def words_of(piece: str) -> list[str]:
-    """Words of a piece without quoted words and short brackets."""
+def unquoted(piece: str) -> str:
+    """A piece with quoted words and short brackets blanked, if enough words are left."""
     if "(" in piece or "“" in piece or '"' in piece or "«" in piece or "„" in piece:
-        bare = _QUOTED.sub(" ", piece)
+        bare = _QUOTED.sub(lambda m: " " * len(m[0]), piece)
         if len(_WORD.findall(bare)) >= SENTENCE_WORDS:
-            piece = bare
-    return _WORD.findall(piece)
+            return bare
+    return piece
+
+
+def words_of(piece: str) -> list[str]:
+    """Words of a piece without quoted words and short brackets."""
+    return _WORD.findall(unquoted(piece))
 
 
 # ---- fitting ----------------------------------------------------------------------------------
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model of (language, text) pairs. Sentences that the first model puts into another language
-    (wrong labels, mixed texts) are left out of the second. Sequences of sentences of one or several
-    languages teach the transitions."""
+    """A model of (language, text) pairs. As labels are often wrong and the same sentences stand in
+    many texts, sentences are labelled by their function words first; a model of n-grams and function
+    words only, which can't learn a sentence's own words by heart, is fitted on them and labels all
+    sentences; the last one is fitted on those of which that is sure. Sequences of sentences of one
+    or several languages teach the transitions."""
     rng = np.random.default_rng(seed)
-    by: dict[str, list[list[str]]] = {l: [] for l in LANGUAGES}
+    pool: list[tuple[int, list[str]]] = []
     for lang, text in texts:
         for _, p in pieces(prose(text)):
             w = words_of(p)
             if len(w) >= SENTENCE_WORDS and complete(p):
-                by[lang].append(w)
-    for lang, s in by.items():
-        if len(s) > TRAIN_SENTENCES:
-            by[lang] = [s[i] for i in rng.permutation(len(s))[:TRAIN_SENTENCES]]
-    model = _fit(by, rng)
-    kept = {}
-    for lang, s in by.items():
-        m = model.marginals([model.ids_of(w) for w in s]) if s else []
-        at = LANGUAGES.index(lang)
-        kept[lang] = [w for w, x in zip(s, m) if x[:, at].mean() > 0.2] or s
-    return _fit(kept, rng)
+                pool.append((LANGUAGES.index(lang), w))
+    labelled = [(by_function_words(w, k), w) for k, w in pool]
+    for own_words in (False, True):
+        model = _fit(_at_most(labelled, rng), rng, own_words)
+        if not own_words:
+            means = [m.mean(0) for m in model.marginals([model.ids_of(w) for _, w in pool])]
+            labelled = [(int(m.argmax()) if m.max() >= TRAIN_CONFIDENCE else None, w) for (_, w), m in zip(pool, means)]
+    return model
+
+
+def _at_most(sentences, rng: np.random.Generator) -> dict[str, list[list[str]]]:
+    """Sentences by language, TRAIN_SENTENCES of each; None is no language."""
+    by: dict[str, list[list[str]]] = {l: [] for l in LANGUAGES}
+    for k, w in sentences:
+        if k is not None:
+            by[LANGUAGES[k]].append(w)
+    return {l: s if len(s) <= TRAIN_SENTENCES else [s[i] for i in rng.permutation(len(s))[:TRAIN_SENTENCES]] for l, s in by.items()}
 
 
 def _centred_logs(x: np.ndarray, plus: float) -> np.ndarray:
@@ -201,7 +280,7 @@ def _centred_logs(x: np.ndarray, plus: float) -> np.ndarray:
     return (logs - logs.mean(1, keepdims=True)).astype(np.float32)
 
 
-def _fit(by: dict[str, list[list[str]]], rng: np.random.Generator) -> Model:
+def _fit(by: dict[str, list[list[str]]], rng: np.random.Generator, own_words: bool = True) -> Model:
     k = len(LANGUAGES)
     counts: dict[str, int] = {}
     for s in by.values():
@@ -210,7 +289,7 @@ def _fit(by: dict[str, list[list[str]]], rng: np.random.Generator) -> Model:
                 low = w.lower()
                 counts[low] = counts.get(low, 0) + 1
     # words seen in several sentences; names are mostly seen once
-    lexicon = {w: i for i, w in enumerate(sorted(w for w, n in counts.items() if n >= 3))}
+    lexicon = {w: i for i, w in enumerate(sorted({w for w, n in counts.items() if n >= 3 and own_words} | set(_LISTED)))}
     sequences: list[tuple[list[int], list[int]]] = []
     vocabulary: dict[str, int] = {}
     pool = [(LANGUAGES.index(l), s) for l in LANGUAGES for s in by[l]]
@@ -260,7 +339,7 @@ def _fit(by: dict[str, list[list[str]]], rng: np.random.Generator) -> Model:
         score[lex >= 0] += model.word_weights[lex[lex >= 0]]
         emit = np.exp(score - score.max(1, keepdims=True)).astype(np.float32)[ids]
         step = np.exp(model.transitions)
-        m = forward_backward(emit, lengths, step, np.exp(model.start))
+        m, expected_pairs = forward_backward(emit, lengths, step, np.exp(model.start), with_pairs=True)
         expected = np.zeros((len(words), k))
         for c in range(k):
             expected[:, c] = np.bincount(ids[real], m[..., c][real], minlength=len(words))
@@ -268,11 +347,7 @@ def _fit(by: dict[str, list[list[str]]], rng: np.random.Generator) -> Model:
         grad = {"gram_weights": np.stack([np.bincount(flat, g[owner, c], minlength=BUCKETS) for c in range(k)], 1)}
         grad["word_weights"] = np.zeros_like(model.word_weights, dtype=np.float64)
         np.add.at(grad["word_weights"], lex[lex >= 0], g[lex >= 0])
-        if epoch % 8 == 7:  # expected transitions, with marginals of neighbours and the transition weight
-            left, right = m[:, :-1][both], m[:, 1:][both]
-            joint = left[:, :, None] * step[None] * right[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            grad["transitions"] = (pairs - joint.sum(0)) / n_words
+        grad["transitions"] = (pairs - expected_pairs) / n_words
         grad["start"] = (np.bincount(gold[:, 0], minlength=k) - m[:, 0].sum(0)) / n_words
         for name, gr in grad.items():
             w = getattr(model, name)
@@ -298,8 +373,13 @@ def training_texts(docs: DataFrame, key: Column, label: Column, text: Column, pe
 # ---- labelling --------------------------------------------------------------------------------
 
 
+OTHER = "other"
+
+
 def sentence_languages(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str, float, bool]]]:
-    """For each text its pieces as (start, stop, language, confidence, is a full sentence)."""
+    """For each text its pieces as (start, stop, language, confidence, is a full sentence). A piece
+    whose words change their language comes as several, each run from its first to its last word;
+    a piece of which too few words are known to its language is in none of LANGUAGES (OTHER)."""
     where, sentences = [], []
     for i, text in enumerate(texts):
         if not text:
@@ -307,24 +387,52 @@ def sentence_languages(model: Model, texts: list[str | None]) -> list[list[tuple
         for at, p in pieces(prose(text)):
             w = words_of(p)
             if w:
-                where.append((i, at, at + len(p), complete(p)))
+                where.append((i, at, p))
                 sentences.append(model.ids_of(w))
     out: list[list] = [[] for _ in texts]
-    for (i, a, b, full), m in zip(where, model.marginals(sentences)):
-        total, top = m.sum(0), m.argmax(1)
-        best = int(total.argmax())
-        of_it = int((top == best).sum())
-        sure = float(total[best]) / len(m)
-        out[i].append((a, b, LANGUAGES[best], sure, full and of_it >= SENTENCE_WORDS and sure >= SENTENCE_CONFIDENCE))
-        if len(m) - of_it >= SENTENCE_WORDS:  # a sentence that changes its language
-            for k in np.unique(top[top != best]):
-                run = np.flatnonzero(top == k)
-                if len(run) >= SENTENCE_WORDS and run[-1] - run[0] + 1 == len(run) and m[run, k].mean() > 0.9:
-                    out[i].append((a, b, LANGUAGES[k], float(m[run, k].mean()), full))
+    for (i, at, p), ids, m in zip(where, sentences, model.marginals(sentences)):
+        full, top = complete(p), m.argmax(1)
+        if (top == top[0]).all():
+            out[i].append(_piece(model, at, at + len(p), int(top[0]), ids, m, full))
+            continue
+        total = m.sum(0)
+        runs = _runs(m, top, int(total.argmax()))
+        if len(runs) == 1:
+            out[i].append(_piece(model, at, at + len(p), runs[0][2], ids, m, full))
+            continue
+        spans = [w.span() for w in _WORD.finditer(unquoted(p))]
+        for n, (x, z, k) in enumerate(runs):  # the first and the last run reach to the piece's ends
+            a = 0 if n == 0 else spans[x][0]
+            b = len(p) if n == len(runs) - 1 else spans[z - 1][1]
+            out[i].append(_piece(model, at + a, at + b, k, ids[x:z], m[x:z], full))
     model.trim()
     return out
 
 
+def _piece(model: Model, a: int, b: int, k: int, ids: list[int], m: np.ndarray, full: bool) -> tuple[int, int, str, float, bool]:
+    sure = float(m[:, k].sum()) / len(m)
+    known = model.share_known(ids, k)
+    if known < SENTENCE_KNOWN:
+        return a, b, OTHER, round(1 - known, 4), False
+    return a, b, LANGUAGES[k], sure, full and int((m.argmax(1) == k).sum()) >= SENTENCE_WORDS and sure >= SENTENCE_CONFIDENCE
+
+
+def _runs(m: np.ndarray, top: np.ndarray, main: int) -> list[tuple[int, int, int]]:
+    """(first word, end, language) of the maximal runs of one label. Runs of another language than
+    the sentence's that are short and not sure, such as names, belong to what is before them."""
+    begin = np.flatnonzero(np.diff(top, prepend=-1))
+    out: list[list[int]] = []
+    for x, z in zip(begin, [*begin[1:], len(top)]):
+        k = int(top[x])
+        if k != main and (z - x < RUN_WORDS or m[x:z, k].mean() < RUN_CONFIDENCE):
+            k = out[-1][2] if out else main
+        if out and out[-1][2] == k:
+            out[-1][1] = int(z)
+        else:
+            out.append([int(x), int(z), k])
+    return [tuple(r) for r in out]
+
+
 FOUND = "src string, rec_id string, lang string"
 SEGMENTS = "src string, rec_id string, start int, stop int, lang string, confidence double"
 DOCUMENTS = "src string, rec_id string, label string, lang string, confidence double, languages string"
@@ -344,7 +452,8 @@ def label_texts(rows: DataFrame, model: Model, what: str) -> DataFrame:
     sentences of one language with its place and confidence. "documents": each text's language by
     the words of its sentences, null for a text without words. No shuffle; whole texts are read.
 
-    Null and empty texts have no sentences: no row in found and segments, a null language in documents."""
+    A run or text in none of LANGUAGES is 'other' in segments and documents, and no row in found. Null
+    and empty texts have no sentences: no row in found and segments, a null language in documents."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS and the lexicon of TRAIN_SENTENCES
 
     def run(batches):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from pageloom.llm.languages import LANGUAGES, fit, forward_backward, label_texts, language_of_label, sentence_languages, training_texts
+from pageloom.llm.languages import LANGUAGES, OTHER, fit, forward_backward, label_texts, language_of_label, sentence_languages, training_texts
 from pageloom.llm.prose import complete, pieces, prose
 from pageloom.session import table
 from pyspark.sql import functions as F
@@ -43,6 +43,60 @@ def test_held_out_accuracy(spark, model):
     assert right / n > 0.93  # a part of the labels is wrong
 
 
+def test_pair_marginals_against_all_paths():
+    rng = np.random.default_rng(2)
+    k, t = 3, 4
+    step, start, emit = rng.random((k, k)) + 0.1, rng.random(k) + 0.1, rng.random((1, t, k)) + 0.05
+    want = np.zeros((k, k))
+    total = 0.0
+    for path in np.ndindex(*[k] * t):
+        p = start[path[0]] * emit[0, 0, path[0]]
+        for i in range(1, t):
+            p *= step[path[i - 1], path[i]] * emit[0, i, path[i]]
+        total += p
+        for i in range(1, t):
+            want[path[i - 1], path[i]] += p
+    _, pairs = forward_backward(emit.astype(np.float32), np.array([t]), step.astype(np.float32), start.astype(np.float32), with_pairs=True)
+    assert np.allclose(pairs, want / total, atol=1e-4)
+
+
+def test_the_sample_does_not_matter(spark):
+    """Models of two different halves of the labelled texts find the same."""
+    rows = [r for r in table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "lang", "text").filter("doc_id % 4 < 2").collect()]
+    got = []
+    for half in (0, 1):
+        texts: dict = {}
+        for r in rows:
+            if r.doc_id % 2 == half and (l := language_of_label(r.lang)) in LANGUAGES:
+                texts.setdefault(l, []).append((l, r.text))
+        m = fit([x for l in sorted(texts) for x in texts[l][:400]])
+        got.append([frozenset(x[2] for x in f if x[4]) for f in sentence_languages(m, [r.text for r in rows[:3000]])])
+    assert sum(a != b for a, b in zip(*got)) <= 0.002 * len(got[0])
+
+
+OTHERS = [
+    "Questa casa è molto bella, ma il giardino non è grande come quello di mia sorella.", "O menino comeu todas as maçãs que estavam em cima da mesa da cozinha.",
+    "Wczoraj poszliśmy do sklepu, żeby kupić chleb i mleko dla naszej rodziny.", "Kissa istuu pöydän alla ja katselee lintuja ikkunasta.", "Il presidente del consiglio ha detto che la legge sarà approvata domani.",
+]
+OWN = [
+    ("en", "The quick brown fox jumps over the lazy dog near a quiet riverbank."), ("nl", "Gisteren kochten we vers brood en melk bij de kleine winkel om de hoek."), ("de", "Gestern kauften wir frisches Brot und Milch im kleinen Laden um die Ecke."),
+    ("fr", "Hier nous avons acheté du pain frais et du lait dans la petite boutique du coin."), ("es", "Ayer compramos pan fresco y leche en la pequeña tienda de la esquina."),
+]
+
+
+def test_other_languages_are_none_of_ours(model):
+    assert [[(x[2], x[4]) for x in f] for f in sentence_languages(model, OTHERS)] == [[(OTHER, False)]] * len(OTHERS)
+    assert [[(x[2], x[4]) for x in f] for f in sentence_languages(model, [t for _, t in OWN])] == [[(l, True)] for l, _ in OWN]
+
+
+def test_switch_inside_a_sentence(model):
+    text = "I really like this book pero no me gusta nada la película que hicieron después, honestly speaking it was boring."
+    (found,) = sentence_languages(model, [text])
+    assert [(text[a:b], l) for a, b, l, _, _ in found] == [("I really like this book", "en"), ("pero no me gusta nada la película que hicieron después", "es"), ("honestly speaking it was boring.", "en")]
+    long = "palabra " * 60_000
+    assert len(sentence_languages(model, [long, "De koppeling in de tweede alinea werkt niet meer."] * 3)) == 6
+
+
 def test_labels():
     assert [language_of_label(x) for x in ("EN", "en_US", "Dutch", " deu ", "fr-FR", "xx", "", None, "und", "it")] == ["en", "en", "nl", "de", "fr", None, None, None, None, "it"]
 
