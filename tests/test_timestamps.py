@@ -17,7 +17,9 @@ CASES = [
     ("2012-10-30T08:36:40.55-03:30", None, "2012-10-30T12:06:40"), ("2010-10-31 02:30:00", "Europe/Amsterdam", "2010-10-31T00:30:00"), ("2010-03-28 02:30:00", "Europe/Amsterdam", None), ("2010-03-28 02:30 ", "Asia/Kolkata", "2010-03-27T21:00:00"),
     ("12:00, 1 May 2010 (BST)", "Europe/London", "2010-05-01T11:00:00"), ("12:00, 1 May 2010 (XYZ)", "Europe/London", None), ("2010-02-30T10:00:00Z", None, None), ("2010-07-05", "Europe/London", None), ("infinity", None, None),
     ("", None, None), (None, "Europe/London", None), ("2010-01-01 25:00", "Europe/London", None), ("2010-01-01 10:00", None, None), ("\t2008-01-21T19:11:38Z\n", None, "2008-01-21T19:11:38"), ("A 9", None, None),
-    ("２００８-01-01T00:00:00Z", None, "2008-01-01T00:00:00"), ("x" * 100_000 + "9", None, None),
+    ("2150-07-01 12:00", "Europe/Amsterdam", "2150-07-01T10:00:00"), ("2150-01-01 12:00", "Europe/Amsterdam", "2150-01-01T11:00:00"), ("3999-07-01 12:00", "Europe/Amsterdam", "3999-07-01T10:00:00"),
+    ("2010-07-01T10:00:00." + "0" * 2000 + "Z", None, "2010-07-01T10:00:00"), ("2010-W01-1T10:00:00Z", None, "2010-01-04T10:00:00"), ("2009-W53-7T10:00:00Z", None, "2010-01-03T10:00:00"), ("2010-W53-1T10:00:00Z", None, None), ("2012-366T10:00Z", None, "2012-12-31T10:00:00"), ("2011-366T10:00Z", None, None),
+    ("1 " * 100_000, None, None), ("２００８-01-01T00:00:00Z", None, "2008-01-01T00:00:00"), ("x" * 100_000 + "9", None, None),
 ]
 
 
@@ -41,15 +43,28 @@ def test_days(text, want):
 def test_zone_table_against_the_library(zone):
     t, tz, rng = zone_table(zone), ZoneInfo(zone), random.Random(1)
     for _ in range(3000):
-        wall = datetime(1950, 1, 1) + timedelta(seconds=rng.randrange(int(timedelta(days=365 * 90).total_seconds())))
+        wall = datetime(1950, 1, 1) + timedelta(seconds=rng.randrange(int(timedelta(days=365 * 900).total_seconds())))
         instants = {wall.replace(tzinfo=tz, fold=f).astimezone(UTC) for f in (0, 1)}
         real = sorted(i for i in instants if i.astimezone(tz).replace(tzinfo=None) == wall)
-        got, ok = t.to_utc(np.array([int(wall.replace(tzinfo=UTC).timestamp())]))
-        assert bool(ok[0]) == bool(real)
+        got, ok, twice = t.to_utc(np.array([int(wall.replace(tzinfo=UTC).timestamp())]))
+        assert bool(ok[0]) == bool(real) and bool(twice[0]) == (len(real) == 2)
         if real:
             assert int(got[0]) == int(real[0].timestamp())
 
 
+def test_status_and_fractions(spark):
+    from pageloom.operators.timestamps import parsed_instants
+
+    sites = spark.createDataFrame([("s", "Europe/London")], "site string, tz string")
+    texts = ["2010-07-01T10:00:00.1234567Z", "1199248530866", "2010-10-31 01:30", "2010-03-28 01:30", "2010-13-01 10:00", "soon", None, "2010-07-01 10:00 (QQQ)", "2010-07-01T10:00:00,5+01:00"]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "i int, site string, value string")
+    rows = parsed_instants(df, df["value"], df["site"], sites).selectExpr("i", "date_format(parsed.at, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS at", "parsed.status AS status").orderBy("i").collect()
+    assert [(r.at, r.status) for r in rows] == [
+        ("2010-07-01 10:00:00.123456", "parsed"), ("2008-01-02 04:35:30.866000", "parsed"), ("2010-10-31 00:30:00.000000", "ambiguous"), (None, "does not exist"), (None, "does not exist"),
+        (None, "unknown form"), (None, None), (None, "no zone"), ("2010-07-01 09:00:00.500000", "parsed"),
+    ]
+
+
 def test_columns(spark):
     sites = spark.createDataFrame([("s", "Europe/London"), ("n", None), (None, "Asia/Kolkata")], "site string, tz string")
     df = spark.createDataFrame([("s", "2010-07-01 10:00", 1), ("s", "2010-07-01T10:00:00Z", 2), ("n", "2010-07-01 10:00", 3), (None, "1199167987", 4), ("?", None, 5)], "site string, value string, tz int")
