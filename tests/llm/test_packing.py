@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from pageloom.llm.packing import SumOfSquares, capacities_of, fill_report, pack, token_counts
+from pageloom.llm.catalogue import TOKENIZER
+from pageloom.llm.packing import SumOfSquares, capacities_of, faults, fill_report, pack, token_counts
 
 
 def naive(capacity, sizes):
@@ -61,9 +62,30 @@ def test_pack(spark, stream):
 
 def test_tokens_and_report(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x y " * 20_000)], "doc_id bigint, text string")
-    n = {r.doc_id: r.n_tokens for r in token_counts(docs, "doc_id", "text").collect()}
+    n = {r.doc_id: r.n_tokens for r in token_counts(docs, "doc_id", "text", TOKENIZER).collect()}
     assert n[1] == 2 and n[2] == 0 and n[3] == 0 and n[4] >= 20_000
     caps = capacities_of(spark.createDataFrame([("a", 10), (None, 3)], "container_kind string, capacity int"))
     assert caps == {"a": 10}
     r = fill_report(pack(spark.createDataFrame([(1, 5), (2, 5), (3, 4)], "doc_id bigint, n_tokens bigint"), caps), caps).first()
     assert (r.containers, r.tokens, r.used) == (2, 14, 0.7)
+
+
+def test_streams_are_even_whatever_the_ids(spark):
+    """Null and repeated ids of one size are spread over streams, and each is packed."""
+    df = spark.createDataFrame([(None, 3)] * 900 + [(7, 3)] * 300, "doc_id bigint, n_tokens bigint")
+    out = pack(df, {"a": 10}, stream_items=100, merge_items=50)
+    got = out.groupBy("container_id").sum("n_tokens").toPandas()["sum(n_tokens)"]
+    assert got.max() <= 10 and got.sum() == 3600 and len(got) <= 420
+    assert faults(out.filter("doc_id IS NULL"), df.filter("doc_id IS NULL"), {"a": 10}).count() == 0  # a null id names no document
+
+
+def test_a_large_capacity_costs_no_time():
+    import time
+
+    rng = random.Random(3)
+    sizes = [min(131_072, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(20_000)]
+    p = SumOfSquares(131_072)
+    began = time.perf_counter()
+    for x in sizes:
+        p.place(x)
+    assert (time.perf_counter() - began) / len(sizes) < 60e-6
