@@ -27,6 +27,11 @@ def p4_titles(spark: SparkSession, d: str) -> DataFrame:
     return both.filter("title IS NOT NULL").distinct().select("title", lookalikes.look(F.col("title")).alias("norm"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The writings of each look among the titles of revisions, with their numbers of records."""
+    return lookalikes.look_classes(table(spark, d, "revertbot").select("revid", "title"), "revid", "title")
+
+
 def _labelled_texts(spark: SparkSession, d: str) -> tuple[DataFrame, languages.Model]:
     """All texts with the language they are meant to be in, and a model fitted on documents."""
     docs = table(spark, d, "documents")
@@ -101,19 +106,20 @@ def p8_topics(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "topic int, subject string, rank int, term string, probability double")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p6_check, p7_found, p7_places, p8_found, p8_composition, p8_topics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_titles, p4_classes, p5_found, p5_segments, p5_documents, p6_assignment, p6_fill, p6_check, p7_found, p7_places, p8_found, p8_composition, p8_topics)}
 
 
-def _p4_sql() -> str:
-    """SQL's own way to the same pairs: letters are exchanged in the written title, then composed."""
+def _look_sql(c: str) -> str:
+    """SQL's own way to a title's look: letters are exchanged in the written title, then composed."""
     pairs = [(p[0], p[1]) for line in (lookalikes.CYRILLIC, lookalikes.GREEK, lookalikes.SYMBOLS) for p in line.split()]
     pairs += [(chr(0xFF01 + i), chr(0x21 + i)) for i in range(94)] + [(c, "-") for c in lookalikes.HYPHENS] + [("K", "K"), ("Å", "Å")]
     pairs += [(c, " ") for c in "      　"]
     a, b = "".join(x for x, _ in pairs).replace("'", "''"), "".join(x for _, x in pairs).replace("'", "''")
+    return f"nfc_normalize(translate(regexp_replace({c}, '[­​-‏⁠﻿]', '', 'g'), '{a}', '{b}'))"
 
-    def look(c: str) -> str:
-        return f"nfc_normalize(translate(regexp_replace({c}, '[­​-‏⁠﻿]', '', 'g'), '{a}', '{b}'))"
 
+def _p4_sql() -> str:
+    look = _look_sql
     return f"""WITH p AS (SELECT page_id, title, {look("title")} AS l FROM pagelist),
  r AS (SELECT DISTINCT revid, title, {look("title")} AS l FROM revertbot WHERE title IS NOT NULL),
  j AS (SELECT CASE WHEN json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$')::JSON ELSE j END AS j FROM (SELECT CASE WHEN response IS NOT NULL THEN to_json({{'response': response}})
@@ -127,5 +133,7 @@ def _p4_sql() -> str:
 
 SQL = {
     "p4_found": _p4_sql(),
+    "p4_classes": f"""WITH c AS (SELECT title, {_look_sql("title")} AS look, count(DISTINCT revid) AS records FROM revertbot WHERE title IS NOT NULL AND revid IS NOT NULL GROUP BY ALL),
+ k AS (SELECT look, min(title) AS representative, count(*) AS writings FROM c GROUP BY look HAVING count(*) > 1) SELECT look, title, representative, writings, records FROM c JOIN k USING (look)""",
     "p6_check": "SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS over_full, 0 AS misplaced, 0 AS split_without_need FROM container_size",
 }

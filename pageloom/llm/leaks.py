@@ -1,28 +1,32 @@
 """Problem 7: evaluation texts leaking into training text.
 
 One Aho-Corasick automaton holds every run of six consecutive words of all items, normalised; each
-text is normalised and scanned once. A run of six or more words is the union of its six-word
-windows, so the covered words of an item are exact. Only for texts with enough covered words are
-the places mapped back to the original text.
+text is normalised and scanned once. Words of the items are numbered and written as two letters of an
+alphabet as small as that allows (all other words are one more pair), so the automaton has at most
+twelve states a window and few ways on from each. A run of six or more words is the union of its six-word windows, so the covered words of an item are
+exact. Only for texts with enough covered words are the places mapped back to the original text.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
-from collections import defaultdict
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm.lookalikes import canonical
 
 RUN = 6
 SHARE = 0.5
-#: Items go to every executor in blocks of this many; each block is one automaton.
-BLOCK_ITEMS = 20_000
-#: More items than this are refused, as they are held on the driver.
-MAX_ITEMS = 2_000_000
+#: One automaton holds items of up to this many bytes of text (the test items of all known suites together are fewer);
+#: its states take some hundred bytes a word in each Python worker. Longer lists go out as several automata, each of which
+#: scans the texts once more.
+AUTOMATON_BYTES = 8 << 20
+#: Items are held on the driver; more text than this is refused.
+MAX_ITEM_BYTES = 1 << 30
 
 #: A tag: a name, attributes with values, and between them fewer loose words than a run has, so that
 #: a '<' and a later '>' of the text hide no run. Comments are text: their marks are no words.
@@ -82,88 +86,113 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 
 class LeakFinder:
-    def __init__(self, items: list[tuple[int, str]], run: int = RUN, share: float = SHARE):
+    """The automaton of some items; it is built once and sent to the workers."""
+
+    def __init__(self, items: list[tuple[int, str]], run: int = RUN, share: float = SHARE, short: bool = False):
         import ahocorasick
 
         self.run, self.share = run, share
-        self.items = [(i, plain(t).split()) for i, t in items]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            for p in range(len(words) - run + 1):
-                where[f" {' '.join(words[p : p + run])} "].append((k, p))
-        self.automaton = ahocorasick.Automaton()
-        for key, places in where.items():
-            self.automaton.add_word(key, places)
-        self.empty = not where
-        if where:
+        self.ids = [i for i, _ in items]
+        texts = [plain(t).split() for _, t in items]
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        words = {w: n for n, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+        base = math.isqrt(max(len(words) - 1, 0)) + 1
+        # first and second letters differ, so that nothing is found between two words
+        self.letters = {w: chr(2 + n // base) + chr(2 + base + n % base) for w, n in words.items()}
+        coded = ["".join([self.letters[w] for w in t]) for t in texts]
+        keys: dict[str, int] = {}
+        of_key, item, place = [], [], []
+        for k, c in enumerate(coded):
+            n = len(c) // 2
+            for p in range(n - run + 1) if n >= run else range(int(short and n > 0)):
+                of_key.append(keys.setdefault(c[2 * p : 2 * (p + run)], len(keys)))
+                item.append(k)
+                place.append(p)
+        # the (item, place)s of key i stand at first[i] to first[i + 1]
+        order = np.argsort(np.array(of_key, np.int64), kind="stable")
+        self.first = np.searchsorted(np.array(of_key, np.int64)[order], np.arange(len(keys) + 1))
+        self.item, self.place = np.array(item, np.int32)[order], np.array(place, np.int32)[order]
+        self.lengths = np.array([len(c) // 2 for c in keys], np.int32)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for c, i in keys.items():
+            self.automaton.add_word(c, i)
+        self.empty = not keys
+        if keys:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
         """(item, covered words, words, places) of each item of which the text holds enough."""
         if not text or self.empty:
             return []
-        words = plain(text)
-        covered: dict[int, set[int]] = {}
-        hits: dict[int, list[int]] = {}
-        for end, places in self.automaton.iter(words):
-            for k, p in places:
-                covered.setdefault(k, set()).update(range(p, p + self.run))
-                hits.setdefault(k, []).append(end)
-        found = [k for k, c in covered.items() if len(c) >= self.share * len(self.items[k][1])]
+        letters, other = self.letters.get, "\1\1"
+        coded = "".join([letters(w, other) for w in plain(text).split()])
+        hits = list(self.automaton.iter(coded))
+        if not hits:
+            return []
+        first, covered, runs = self.first, {}, {}
+        for end, key in hits:
+            n, end = int(self.lengths[key]), end // 2
+            for j in range(first[key], first[key + 1]):
+                k, p = int(self.item[j]), int(self.place[j])
+                covered.setdefault(k, set()).update(range(p, p + n))
+                runs.setdefault(k, []).append((end - n + 1, end))
+        found = [k for k, c in covered.items() if len(c) >= self.share * self.sizes[k]]
         if not found:
             return []
         spans = word_spans(text)
-        return [(self.items[k][0], len(covered[k]), len(self.items[k][1]), self._places(words, hits[k], spans)) for k in found]
+        return [(self.ids[k], len(covered[k]), int(self.sizes[k]), self._places(runs[k], spans)) for k in found]
 
-    def _places(self, words: str, ends: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def _places(self, runs: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out: list[list[int]] = []
-        for e in sorted(ends):
-            last = words.count(" ", 0, e + 1) - 2  # index of the window's last word
-            first = last - self.run + 1
+        for first, last in sorted(runs):
             if last < len(spans):
                 if out and first <= out[-1][1] + 1:
-                    out[-1][1] = last
+                    out[-1][1] = max(last, out[-1][1])
                 else:
                     out.append([first, last])
         return [(spans[a][0], spans[b][1]) for a, b in out]
 
 
 SCHEMA = "doc_id bigint, item_id bigint, covered int, words int, places array<struct<start:int,stop:int>>"
-_finders: dict = {}
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", run: int = RUN, share: float = SHARE) -> DataFrame:
+def leaks(
+    docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", run: int = RUN, share: float = SHARE, short: bool = False, automaton_bytes: int = AUTOMATON_BYTES
+) -> DataFrame:
     """Documents with the items they hold: at least ``share`` of the item's words stand in the text
     in runs of ``run`` or more consecutive words of the item. ``places`` are those runs in the
     original text (start, stop). No shuffle; whole texts are scanned.
 
     Null and empty texts hold nothing and are held by nothing; items of fewer than ``run`` words
-    can't be held. Repeated documents are each reported; repeated items too, under their own id."""
-    # the held-out items are few by nature; they are checked and sent in blocks
-    rows = [(r[0], r[1]) for r in items.select(F.col(f"`{item_col}`"), F.col(f"`{item_text}`")).filter(F.col(f"`{item_text}`").isNotNull()).limit(MAX_ITEMS + 1).collect()]
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items; call leaks() on parts of them")
+    can't be held, or, with ``short``, are held where all their words stand in a row. Repeated
+    documents are each reported; repeated items too, under their own id."""
+    text = F.col(f"`{item_text}`")
+    # the held-out items are few by nature; their size is checked before they come to the driver
+    size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    if size > MAX_ITEM_BYTES:
+        raise ValueError(f"{size} bytes of items, more than {MAX_ITEM_BYTES}; call leaks() on parts of them")
+    rows = [(r[0], r[1]) for r in items.select(F.col(f"`{item_col}`"), text).filter(text.isNotNull()).collect()]
     rows.sort(key=lambda r: (r[0] is None, r[0], r[1]))
     narrow = docs.select(F.col(f"`{doc_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    blocks, held = [[]], 0
+    for r in rows:
+        if blocks[-1] and held + len(r[1]) > automaton_bytes:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(r)
+        held += len(r[1])
     out = None
-    for k in range(0, max(1, len(rows)), BLOCK_ITEMS):
-        block = docs.sparkSession.sparkContext.broadcast(rows[k : k + BLOCK_ITEMS])
-        part = narrow.mapInArrow(_scan(block, run, share), SCHEMA)
+    for block in blocks:
+        part = narrow.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(LeakFinder(block, run, share, short))), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scan(block, run: int, share: float):
+def _scan(shipped):
     def scan(batches):
         import pyarrow as pa
 
-        from pageloom.llm import leaks as own
-
-        key = (block.id if hasattr(block, "id") else id(block), len(block.value), hash(tuple(block.value)), run, share)
-        if key not in own._finders:
-            own._finders.clear()
-            own._finders[key] = own.LeakFinder(block.value, run, share)
-        finder = own._finders[key]
+        finder = shipped.value
         schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()), ("words", pa.int32()), ("places", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
         for b in batches:
             rows = [(d, *hit) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for hit in finder.find(t)]

@@ -23,10 +23,13 @@ ARMENIAN = "ՕO ՏS օo հh ցg զq"
 CHEROKEE = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ"
 COPTIC = "ⲞO ⲟo ⲢP ⲤC ⲦT ⲬX ⲎH ⲒI ⲔK ⲘM ⲚN"
 SYMBOLS = "µμ ∆Δ ∑Σ ∏Π"
+LISU = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
+NUMERALS = "ⅠI ⅤV ⅩX ⅬL ⅭC ⅮD ⅯM ⅰi ⅴv ⅹx ⅼl ⅽc ⅾd ⅿm"
+SINGLE = "ӏl ӀI ɡg"
 #: Hyphens that look as the ASCII one; dashes and the minus sign are longer and differ.
 HYPHENS = "‐‑"
 
-_SHAPES = {ord(p[0]): p[1] for line in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, SYMBOLS) for p in line.split()}
+_SHAPES = {ord(p[0]): p[1] for line in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, SYMBOLS, LISU, NUMERALS, SINGLE) for p in line.split()}
 #: Compatibility decompositions that keep the look: width forms, letter-like symbols in another font, no-break forms.
 _SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 _ASCII_RUN = re.compile(r"[^ -~]+")
@@ -123,26 +126,44 @@ def one_form(c: Column) -> Column:
 BROADCAST_TITLES = 500_000
 
 
-def miswritten(df: DataFrame, id_col: str, title_col: str, wanted: DataFrame, wanted_id: str, wanted_title: str) -> DataFrame:
+def miswritten(df: DataFrame, id_col: str, title_col: str, wanted: DataFrame, wanted_id: str, wanted_title: str, broadcast_titles: int = BROADCAST_TITLES) -> DataFrame:
     """(rec_id, twin_id) of rows whose title looks as a wanted title but is not the same characters.
 
     Null titles and titles that look as no wanted one give nothing; empty text looks as empty text
     only; repeated rows give one. If several wanted titles look the same, each is a twin."""
     w = wanted.filter(F.col(f"`{wanted_title}`").isNotNull()).select(F.col(f"`{wanted_id}`").alias("twin_id"), F.col(f"`{wanted_title}`").alias("__w"), look(F.col(f"`{wanted_title}`")).alias("__look"))
-    if wanted.limit(BROADCAST_TITLES + 1).count() <= BROADCAST_TITLES:
+    if wanted.limit(broadcast_titles + 1).count() <= broadcast_titles:
         w = F.broadcast(w)
     rows = df.filter(F.col(f"`{title_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("rec_id"), F.col(f"`{title_col}`").alias("__t"))
     return rows.withColumn("__look", look(F.col("__t"))).join(w, "__look").filter("__t <> __w").select("rec_id", "twin_id").distinct()
 
 
+def _mixed(titles: DataFrame) -> DataFrame:
+    """(look, t) of the distinct titles whose look has several writings."""
+    every = materialised(titles.filter("t IS NOT NULL").distinct().withColumn("look", look(F.col("t"))))
+    mixed = every.groupBy("look").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("look")
+    return every.join(mixed, "look", "left_semi")
+
+
 def twins(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
     """(rec_id, twin_id), rec_id < twin_id, of rows whose titles look the same but differ.
 
-    Only looks with more than one writing are joined. Rows with a null id or title, and equal
-    titles, are no twins. A record with several titles counts with each."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title_col}`").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").distinct()
-    rows = materialised(rows.withColumn("look", look(F.col("t"))))  # read three times
-    mixed = rows.groupBy("look").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("look")
-    kept = rows.join(mixed, "look", "left_semi")
-    a, b = kept.select("look", F.col("id").alias("rec_id"), F.col("t").alias("ta")), kept.select("look", F.col("id").alias("twin_id"), F.col("t").alias("tb"))
-    return a.join(b, "look").filter("rec_id < twin_id AND ta <> tb").select("rec_id", "twin_id").distinct()
+    Distinct titles are paired, not rows, and only those whose look has several writings; a pair's
+    rows are joined by title. Rows with a null id or title, and equal titles, are no twins. A record
+    with several titles counts with each. Where one look has very many rows, ``look_classes`` says
+    the same without their pairs."""
+    rows = materialised(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title_col}`").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").distinct())
+    kept = _mixed(rows.select("t"))
+    pairs = kept.select("look", F.col("t").alias("ta")).join(kept.select("look", F.col("t").alias("tb")), "look").filter("ta <> tb").select("ta", "tb")
+    a, b = rows.select(F.col("id").alias("rec_id"), F.col("t").alias("ta")), rows.select(F.col("id").alias("twin_id"), F.col("t").alias("tb"))
+    return pairs.join(a, "ta").join(b, "tb").filter("rec_id < twin_id").select("rec_id", "twin_id").distinct()
+
+
+def look_classes(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
+    """(look, title, representative, writings, records): every writing of each look that has several,
+    with its least writing as the representative and how many records are written so. One row a
+    writing, however many records it has: records are counted before anything is joined."""
+    counts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{title_col}`").alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").distinct().groupBy("t").agg(F.count("*").alias("records"))
+    kept = _mixed(counts.select("t"))
+    of_look = kept.groupBy("look").agg(F.min("t").alias("representative"), F.count("*").alias("writings"))
+    return kept.join(of_look, "look").join(counts, "t").select("look", F.col("t").alias("title"), "representative", "writings", "records")

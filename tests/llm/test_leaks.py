@@ -73,3 +73,26 @@ def test_signs_that_are_no_tags():
     for tag in ["<br>", "<br />", "</B>", "<ref name=Foo Bar>", '<ref name="a b"/>', "<td nowrap>", "<br clear=all / >", "<references\n/>", long]:
         assert plain(f"a{tag}b") == " a b "
     assert plain("<a " + "x=1 " * 50_000) and plain("<" * 50_000) and plain("<a " + "b " * 50_000)
+
+
+def test_short_items_and_several_automata(spark):
+    items = [(1, ITEM), (2, "forty two"), (3, "one  SINGLE answer here"), (4, "six")]
+    docs = spark.createDataFrame([(1, "It is Forty-two, not one single answer."), (2, ITEM + " One single answer here."), (3, "forty or two")], "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = [(1, 2), (2, 1), (2, 3)]
+    for size in (1, 70, 1 << 20):
+        assert sorted((r.doc_id, r.item_id) for r in leaks(docs, table, short=True, automaton_bytes=size).collect()) == want
+    assert [(r.doc_id, r.item_id) for r in leaks(docs, table, automaton_bytes=1).collect()] == [(2, 1)]
+
+
+def test_many_items():
+    """More than twenty thousand items in one automaton, against exact search."""
+    rng = random.Random(8)
+    vocabulary = ["w%d" % i for i in range(50_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=24))) for i in range(20_001)]
+    finder = LeakFinder(items)
+    for k in (0, 777, 20_000):
+        text = "before " + " ".join(items[k][1].split()[4:20]) + " after"
+        (hit,) = finder.find(text)
+        assert hit[:3] == (k, 16, 24) and text[slice(*hit[3][0])] == " ".join(items[k][1].split()[4:20])
+    assert len(finder.first) > 370_000

@@ -2,7 +2,7 @@ import unicodedata
 
 from hypothesis import given, settings, strategies as st
 
-from pageloom.llm.lookalikes import canonical, canonical_run, miswritten, twins
+from pageloom.llm.lookalikes import canonical, canonical_run, look_classes, miswritten, twins
 
 ODD = st.text(st.sampled_from("aeocpxT -é́̈​ ‑–ｅ０（аоіνΟKÅガガﾀﾞ가각ß﻿"), max_size=30)
 
@@ -36,3 +36,19 @@ def test_operators(spark):
     docs = spark.createDataFrame([("b", "é"), ("a", "é"), ("c", "é"), ("c", "é"), ("d", "e"), (None, "é"), ("e", None)], "id string, t string")
     assert sorted(map(tuple, twins(docs, "id", "t").collect())) == [("a", "b"), ("a", "c")]
     assert twins(docs.limit(0), "id", "t").count() == 0
+    assert sorted(map(tuple, miswritten(revs, "revid", "title", pages, "page_id", "title", broadcast_titles=0).collect())) == [(10, 1), (12, 2)]
+
+
+def test_shapes_of_other_letters():
+    for ch, latin in zip("ӏɡⅼⅠꓐⅯ", "lglIBM"):
+        assert canonical("x" + ch + "y") == "x" + latin + "y"
+    for ch in "ıɑ":  # no dot, another shape
+        assert canonical(ch) == ch
+
+
+def test_a_hot_look(spark):
+    """A hundred thousand records of one look: classes count them, no pairs are made."""
+    df = spark.range(100_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'Sandbox' WHEN id = 7 THEN 'S\u0430ndbox' ELSE 'S\u0430ndb\u043ex' END AS t")
+    got = {r.title: (r.look, r.representative, r.writings, r.records) for r in look_classes(df, "id", "t").collect()}
+    assert got == {"Sandbox": ("Sandbox", "Sandbox", 3, 50_000), "S\u0430ndbox": ("Sandbox", "Sandbox", 3, 1), "S\u0430ndb\u043ex": ("Sandbox", "Sandbox", 3, 49_999)}
+    assert look_classes(df.limit(0), "id", "t").count() == 0
