@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pageloom.functions.wikitext import CATEGORY, DISABLED, language_links, replace_except, with_categories, with_language_links, without_language_links
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from pageloom.functions.wikitext import CATEGORY, DISABLED, language_links, replace_except, with_categories, with_language_links, without_disabled_parts, without_language_links
 
 _CODE = ["nowiki", "comment", "pre", "source", "math"]
 
@@ -70,6 +73,45 @@ def lacks_references(text: str, templates: Sequence[str] = ("Reflist", "Referenc
     return not re.search(listed, t)
 
 
+def references_lacking(text: Column, templates: Sequence[str] = ("Reflist", "References")) -> Column:
+    """``lacks_references`` as an expression of the JVM."""
+    t = without_disabled_parts(text)
+    return t.rlike(r"(?i)</ref>") & ~t.rlike(r"(?i)<references\s*/?>|\{\{\s*(?:" + "|".join(templates) + r")\s*[|}]")
+
+
+def robots_allowed(text: Column, robot: str) -> Column:
+    """``allows_robots`` as an expression of the JVM; null text allows."""
+    kind = F.lower(F.regexp_extract(text, r"(?i)\{\{\s*bots\s*\|\s*(allow|deny)\s*=", 1))
+    listed = F.transform(F.split(F.lower(F.regexp_extract(text, r"(?i)\{\{\s*bots\s*\|\s*(?:allow|deny)\s*=\s*([^{}|]*)", 1)), ","), lambda x: F.trim(x))
+    hit = F.arrays_overlap(listed, F.array(F.lit("all"), F.lit(robot.lower())))
+    return F.coalesce(F.when(text.rlike(r"(?i)\{\{\s*nobots\s*\}\}"), False).when(kind == "allow", hit).when(kind == "deny", ~hit), F.lit(True))
+
+
+def maps_of(pairs: DataFrame, key: str, old: str = "old", new: str = "new") -> DataFrame:
+    """(key, map): the replacements of each page; bounded by what the page itself holds."""
+    return pairs.groupBy(key, old).agg(F.min(new).alias(new)).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(old, new))).alias("map"))
+
+
+def with_map(f: Callable[[str, dict[str, str]], str]):
+    """A function of a text and a map as a column function; a null map leaves the text."""
+
+    @F.arrow_udf(T.StringType())
+    def rewrite(texts: pa.Array, maps: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t, dict(m)) if m else t for t, m in zip(texts.to_pylist(), maps.to_pylist())], pa.string())
+
+    return rewrite
+
+
+def with_title(f: Callable[[str, str], str]):
+    """A function of a text and its page's title as a column function; nulls leave the text."""
+
+    @F.arrow_udf(T.StringType())
+    def rewrite(texts: pa.Array, titles: pa.Array) -> pa.Array:
+        return pa.array([t if not t or not n else f(t, n) for t, n in zip(texts.to_pylist(), titles.to_pylist())], pa.string())
+
+    return rewrite
+
+
 def with_references(text: str, heading: str = "References", before: Sequence[str] = ("External links",)) -> str:
     """A section with <references /> before the first of these sections, else before the categories, else at the end."""
     if re.search(rf"(?m)^=+ *{re.escape(heading)} *=+ *$", text):

@@ -73,6 +73,14 @@ def isbn10_to_13(text: Column) -> Column:
     return F.when(isbn13_valid(text), d).when(isbn10_valid(text), F.concat(body, isbn13_check(body).cast("string")))
 
 
+def thirteen(digits: str) -> str:
+    """The 13 digits of an ISBN-10 (or -13), by text."""
+    if len(digits) != 10:
+        return digits
+    body = "978" + digits[:9]
+    return body + str(-sum(int(c) * (1, 3)[i % 2] for i, c in enumerate(body)) % 10)
+
+
 @dataclass(frozen=True)
 class IsbnRanges:
     """For each group ('0', '3', '80', ...) the ranges of publishers as texts of equal length, both ends included."""

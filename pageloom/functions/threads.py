@@ -78,3 +78,59 @@ def section_digests(text: str) -> list[tuple[str, int, str]]:
 def replace_tagged(text: str, tag: str, value: str) -> tuple[str, int]:
     """The region between <!--tag--> and <!--/tag--> with a new value, and how often it was found."""
     return re.subn(rf"(<!--\s*{re.escape(tag)}\s*-->).*?(<!--\s*/{re.escape(tag)}\s*-->)", lambda m: m[1] + value + m[2], text, flags=re.S)
+
+
+def threads_udf(kind, now: datetime, older_than: timedelta):
+    """A column function: array<struct<topic, last_post, old>> of a talk page's threads."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf(kind)
+    def found(values):
+        rows = [None if v is None else [{"topic": t.title, "last_post": t.last and t.last.isoformat(" "), "old": t.last is not None and now - t.last > older_than} for t in split_threads(v)[1]] for v in values.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("topic", pa.string()), ("last_post", pa.string()), ("old", pa.bool_())])))
+
+    return found
+
+
+_SETTINGS = re.compile(r"\{\{\s*[Aa]rchive\s*((?:\|[^{}]*)?)\}\}")
+
+
+def archive_settings(text: str) -> dict[str, str]:
+    """The parameters of the page's archiving template."""
+    m = _SETTINGS.search(text or "")
+    return dict(p.strip().split("=", 1) for p in m[1].split("|") if "=" in p) if m else {}
+
+
+def page_of(header: str, threads: list[Thread]) -> str:
+    return "\n".join([header, *(f"== {t.title} ==\n{t.content}" for t in threads)])
+
+
+def archived(text: str | None, now: datetime, keep: int = 0) -> tuple[str, str | None, list[Thread]] | None:
+    """(the page without its old threads, the archive's name, those threads), by the page's own settings:
+    algo=old(90d), counter=n, archive=name with %(counter)d. Pages without settings stay as they are."""
+    if text is None:
+        return None
+    s = archive_settings(text)
+    age = re.fullmatch(r"old\((\d+)([dh])\)", s.get("algo", "").strip())
+    header, threads = split_threads(text)
+    if not age:
+        return text, None, []
+    limit = timedelta(**{"days" if age[2] == "d" else "hours": int(age[1])})
+    go = to_archive(threads, now, limit, keep)
+    moved = [t for t, g in zip(threads, go) if g]
+    name = s.get("archive", "Archive %(counter)d").replace("%(counter)d", s.get("counter", "1").strip())
+    return page_of(header, [t for t, g in zip(threads, go) if not g]), name if moved else None, moved
+
+
+def archiving_udf(kind, now: datetime, keep: int = 0):
+    """A column function: struct<moved, rest, archive> of ``archived``."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    @F.arrow_udf(kind)
+    def done(values):
+        rows = [None if (r := archived(v, now, keep)) is None else {"moved": len(r[2]), "rest": r[0], "archive": r[1]} for v in values.to_pylist()]
+        return pa.array(rows, pa.struct([("moved", pa.int32()), ("rest", pa.string()), ("archive", pa.string())]))
+
+    return done

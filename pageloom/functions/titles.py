@@ -148,3 +148,9 @@ def as_link(title: Column, ns: Column, text: Column | None = None) -> Column:
     """[[title]], with a colon before files and categories, and a text if it differs."""
     target = F.concat(F.when(ns.isin(6, 14), ":").otherwise(""), title)
     return F.concat(F.lit("[["), target, F.coalesce(F.when(text != title, F.concat(F.lit("|"), text)), F.lit("")) if text is not None else F.lit(""), F.lit("]]"))
+
+
+def last_name_first(name: Column) -> Column:
+    """'Last, First' of a name of several words, for sorting."""
+    last, first = F.regexp_extract(name, r"(\S+)$", 1), F.regexp_extract(name, r"^(.*) \S+$", 1)
+    return F.when(F.contains(name, F.lit(" ")), F.concat(last, F.lit(", "), first)).otherwise(name)

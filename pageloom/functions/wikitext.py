@@ -194,9 +194,9 @@ def templates(text: str | None) -> list[tuple[str, list[tuple[str, str]]]]:
     a name are numbered from 1; the last value of a name counts. Comments and nowiki don't count."""
     if not text or "{{" not in text:
         return []
-    text = re.sub(DISABLED, "", text)
+    text = re.sub(r"(?<!\{)\{\{\{[^{}]*\}\}\}(?!\})", "", re.sub(DISABLED, "", text))  # parameters are no templates
     found, stack = [], []
-    for m in re.finditer(r"\{\{\{|\}\}\}|\{\{|\}\}", text):
+    for m in re.finditer(r"\{\{|\}\}", text):
         if m[0] == "{{":
             stack.append(m.start())
         elif m[0] == "}}" and stack:
@@ -311,6 +311,11 @@ def with_language_links(text: str, links: dict[str, str], languages: frozenset[s
     return body + (newline * 2 if body and order else "") + "".join(f"[[{l}:{links[l]}]]{newline}" for l in order)
 
 
+def without_live_categories(text: str) -> str:
+    """Text without its categories and the ends of their lines; those in comments and code stay."""
+    return replace_except(text, re.compile(r"(?i)\[\[\s*Category\s*:[^\[\]\n]*\]\][ \t]*\n?"), "", ["comment", "nowiki", "pre", "source", "math"])
+
+
 def with_categories(text: str, names: list[str], newline: str = "\r\n") -> str:
     """The text with these categories at its end."""
     body = re.sub(CATEGORY + r"[ \t]*\r?\n?", "", text).rstrip()

@@ -62,3 +62,22 @@ def sessions(edits: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFram
     parts = parts.join(before.select("u", "piece", F.coalesce(earlier, F.lit(0)).alias("earlier")), ["u", "piece"])
     g = parts.groupBy("u", (F.col("earlier") + F.col("k")).alias("session")).agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("edits").alias("edits"))
     return g.select(F.col("u").alias(user), "begin", "end", "edits")
+
+
+def on_day_before(df: DataFrame, ts: str, day: str) -> DataFrame:
+    """Rows of the calendar day before ``day``; a range, so that it reaches the scan."""
+    end = F.lit(day).cast("date")
+    return df.filter((F.col(ts) >= F.date_sub(end, 1).cast("timestamp")) & (F.col(ts) < end.cast("timestamp")))
+
+
+def compressed(log: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:
+    """Of a log of states the last of each key, and how many entries it had."""
+    g = log.groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("m"), F.count("*").alias("entries"))
+    return g.select(key, *[f"m.{c}" for c in (*order, *columns)], "entries")
+
+
+def shelves(log: DataFrame, key: str, ts: str, seen: Column, changed: Column) -> DataFrame:
+    """(key, shelf): 'news' where something changed after it was last seen (or it never was), else 'hist'."""
+    g = log.groupBy(key).agg(F.max(F.when(seen, F.col(ts))).alias("__seen"), F.max(F.when(changed, F.col(ts))).alias("__changed"))
+    news = F.col("__changed").isNotNull() & (F.col("__seen").isNull() | (F.col("__changed") > F.col("__seen")))
+    return g.select(key, F.when(news, "news").otherwise("hist").alias("shelf"))

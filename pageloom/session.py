@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +19,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -42,7 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
         return have.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{os.path.join(tempfile.gettempdir(), f'pageloom-{os.getpid()}')}"
+    folder = os.path.join(tempfile.gettempdir(), f"pageloom-{os.getpid()}")
+    own = f"file://{folder}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -53,9 +57,25 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; ``clean_shared`` removes what was written there."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean_shared(spark: SparkSession) -> int:
+    """Removes what this application wrote below the shared folder: call it when its results are saved.
+    Checkpoints go with spark.cleaner.referenceTracking.cleanCheckpoints, or with the folder."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    return len(paths)
 
 
 _shipped: set[str] = set()
