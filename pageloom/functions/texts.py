@@ -23,7 +23,7 @@ def as_list(value: Column) -> Column:
 
 def settings_of(text: Column) -> Column:
     """The |key=value lines of a text as a map; the last value of a key counts."""
-    keys, values = F.regexp_extract_all(text, F.lit(r"(?m)^\|\s*(\w+)\s*=\s*(.*?)\s*$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?m)^\|\s*(\w+)\s*=\s*(.*?)\s*$"), F.lit(2))
+    keys, values = F.regexp_extract_all(text, F.lit(r"(?m)^\|[ \t]*(\w+)[ \t]*=[ \t]*(.*?)[ \t]*$"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?m)^\|[ \t]*(\w+)[ \t]*=[ \t]*(.*?)[ \t]*$"), F.lit(2))
     last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.greatest(F.size(keys), F.lit(1))).alias("i")), lambda e: e["k"].isNotNull() & (F.array_position(F.slice(F.concat(keys, F.array(F.lit("\0"))), e["i"] + 1, F.size(keys) + 1), e["k"]) == 0))
     return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
 

@@ -61,9 +61,13 @@ def address_number(ip: Column) -> Column:
 
 
 def covering(ranges: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(ip, delivery_no) of range blocks that hold an address. Ranges and addresses meet on the
-    address's first 16 bits, then by comparison; ranges over several such blocks are spread over them."""
+    """(ip, delivery_no) of range blocks that hold an address. A range meets addresses at the level of
+    its own size (the last 8, 16, 24 or all bits are left out of the key), where it lies in at most two
+    blocks; so small ranges of one large network are not compared with all its addresses."""
     r = ranges.select("delivery_no", address_number(F.col("rangestart")).alias("lo"), address_number(F.col("rangeend")).alias("hi")).filter("lo <= hi")
-    r = r.withColumn("block", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))))
-    a = addresses.select("ip", address_number(F.col("ip")).alias("n")).distinct().filter("n IS NOT NULL").withColumn("block", F.shiftright("n", 16))
-    return a.join(r, "block").filter("n BETWEEN lo AND hi").select("ip", "delivery_no")
+    size = F.col("hi") - F.col("lo")
+    r = r.withColumn("bits", F.when(size < 1 << 8, 8).when(size < 1 << 16, 16).when(size < 1 << 24, 24).otherwise(32))
+    shifted = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("bits"))).cast("bigint")
+    r = r.withColumn("block", F.explode(F.sequence(shifted("lo"), shifted("hi"))))
+    a = addresses.select("ip", address_number(F.col("ip")).alias("n")).distinct().filter("n IS NOT NULL").withColumn("bits", F.explode(F.array(*[F.lit(b) for b in (8, 16, 24, 32)])))
+    return a.withColumn("block", shifted("n")).join(r, ["bits", "block"]).filter("n BETWEEN lo AND hi").select("ip", "delivery_no")

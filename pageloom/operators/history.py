@@ -1,7 +1,7 @@
 """Revisions of pages: histories, previous revisions, creators, editors, contributions, sightings.
 
-A page may hold a third of all revisions. Windows over a page therefore run over (page, month)
-pieces; what passes from piece to piece is one row each.
+A page may hold a third of all revisions. Windows over pages therefore run over ranges of equal size;
+what passes from range to range is one row each.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pageloom.session import materialised
+
 
 def distinct_revisions(revisions: DataFrame) -> DataFrame:
     """One row of each revision: the one fetched first (all else of a revision is the same or late)."""
@@ -20,17 +22,21 @@ def distinct_revisions(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("revid").agg(F.min(F.struct(F.col("fetched_at").isNull().alias("n"), "fetched_at", *rest)).alias("r")).select("revid", "r.fetched_at", *[f"r.{c}" for c in rest])
 
 
-def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str, piece: str = "month") -> DataFrame:
+def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: str, out: str) -> DataFrame:
     """df with ``value`` of the key's row before (by time, nulls first, then ``tie``) in column ``out``;
-    null for a key's first row and for rows with a null key."""
-    rows = df.filter(F.col(key).isNotNull()).withColumn("__piece", F.date_trunc(piece, ts))
-    inside = Window.partitionBy(key, "__piece").orderBy(F.asc_nulls_first(ts), tie)
-    rows = rows.withColumn("__prev", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
-    ends = rows.groupBy(key, "__piece").agg(F.max(F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(value).alias("x"))).alias("e"))
-    ends = ends.withColumn("__before", F.lag("e.x").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("__piece")))).select(F.col(key).alias("__key"), F.col("__piece").alias("__p"), "__before")
-    found = rows.join(ends, (F.col(key) == F.col("__key")) & F.col("__piece").eqNullSafe(F.col("__p")), "left")
-    known = found.withColumn(out, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))).drop("__piece", "__prev", "__first", "__key", "__p", "__before")
-    return known.unionByName(df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast(df.schema[value].dataType)))
+    null for a key's first row and for rows with a null key.
+
+    Rows are cut into ranges of (key, time, tie) of like size, whatever the keys are; what passes from a
+    range to the next is its last row."""
+    order = [F.asc_nulls_first(c) for c in (key, ts, tie)]
+    rows = materialised(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    rows = rows.withColumns({"__prev": F.lag(F.struct(F.col(key).alias("k"), F.col(value).alias("x"))).over(inside), "__first": F.row_number().over(inside) == 1})
+    last = F.max(F.struct(F.col(key).alias("k"), F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(value).alias("x"))).alias("e")
+    ends = rows.groupBy("__part").agg(last)  # as many rows as shuffle partitions
+    ends = ends.select("__part", F.lag(F.struct("e.k", "e.x")).over(Window.orderBy("__part")).alias("__before"))
+    p = F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev"))
+    return rows.join(F.broadcast(ends), "__part").withColumn(out, F.when(p["k"] == F.col(key), p["x"])).drop("__part", "__prev", "__first", "__before")
 
 
 def previous_revision(revisions: DataFrame, page: str = "pageid", ts: str = "timestamp", rev: str = "revid") -> DataFrame:

@@ -84,16 +84,25 @@ def ancient(revision: DataFrame, k: int) -> DataFrame:
     return top(revision.groupBy("page_id").agg(F.max("ts").alias("last_edit")), k, F.asc("last_edit"), F.asc("page_id"))
 
 
+#: Up to this rank the optimiser drops rows before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], k: int, *order: Column) -> DataFrame:
     """The first k rows of each key. Ranks above k are dropped before the shuffle (the optimiser's
-    window group limit), so a hot key sends k rows a task."""
+    window group limit), so a hot key sends k rows a task; for a larger k the keys are first ranked in
+    SALTS parts, of which each sends k rows on."""
+    if k > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS))
+        df = df.withColumn("__salt", part).withColumn("__n", F.row_number().over(Window.partitionBy(*key, "__salt").orderBy(*order))).filter(F.col("__n") <= k).drop("__salt", "__n")
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     return ranked.filter(F.col("rank") <= k)
 
 
 def random_pages(page: DataFrame, n: int, seed: int) -> DataFrame:
-    """n different pages, drawn by the hash of (seed, page); the same for the same seed."""
-    return page.withColumn("__h", F.xxhash64(F.lit(seed), "page_id")).orderBy("__h", "page_id").limit(n).drop("__h")
+    """n different pages, drawn by the hash of 'seed:page'; the same for the same seed."""
+    return page.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("page_id").cast("string")))).orderBy("__h", "page_id").limit(n).drop("__h")
 
 
 # ---- links ------------------------------------------------------------------------------------

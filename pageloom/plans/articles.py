@@ -269,7 +269,7 @@ def titles_in_pages(s, d):
 
 
 @query(_WITH + rf""" SELECT page_id, url FROM (SELECT page_id, unnest(regexp_extract_all(text, '{wikitext.URL.replace("'", "''")}')) AS url FROM article)""")
-def article_urls(s, d):
+def external_links(s, d):
     return article(s, d).select("page_id", F.explode(wikitext.external_urls(F.col("text"))).alias("url"))
 
 
@@ -281,7 +281,7 @@ def linksearch(s, d):
 
 
 @query(f"SELECT CAST(p_partkey AS BIGINT) AS page_id, {TITLE} AS title FROM part WHERE p_partkey % 8 = 0")
-def self_linking_pages(s, d):
+def self_links(s, d):
     """Pages that link to themselves, whatever the case of the first letter, outside code."""
     same = F.array_contains(articles.linked_pages(F.col("text"), LANGUAGES), F.concat(F.upper(F.substring("title", 1, 1)), F.substring("title", 2, 1 << 30)))
     return article(s, d).filter(same).select("page_id", "title")
@@ -303,6 +303,22 @@ def harvested_fields(s, d):
     return got.join(claims, "page_id", "left_anti")
 
 
+@query(_WITH + rf""", c AS (SELECT DISTINCT unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 1)) AS category FROM live), k AS (SELECT DISTINCT 'Brand#' || CAST(p_size AS VARCHAR) AS category FROM part) SELECT category FROM k WHERE category NOT IN (SELECT category FROM c)""")
+def unused_categories(s, d):
+    """Category pages that no page is in."""
+    from pageloom.operators.pages import without
+
+    known = table(s, d, "part").select(F.concat(F.lit("Brand#"), F.col("p_size").cast("string")).alias("category")).distinct()
+    used = article(s, d).select(F.inline(wikitext.category_links(wikitext.without_disabled_parts(F.col("text"))))).select("category")
+    return without(known, used, key="category", other_key="category")
+
+
+@query(_WITH + rf""" SELECT page_id, unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 1)) AS category, unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 2)) AS sort_key FROM live""")
+def article_categories(s, d):
+    """Categories with their sort keys, outside comments and code."""
+    return article(s, d).select("page_id", F.inline(wikitext.category_links(wikitext.without_disabled_parts(F.col("text")))))
+
+
 # ---- rewriting: the SQL puts the rewritten pieces together --------------------------------------
 
 _HTML_DONE = "'''bold''' and ''thin''<br>\n----\n== Head ==\n"
@@ -314,6 +330,12 @@ def fix_html(s, d):
     return _rewritten(s, d, cleaning.cleaned(F.col("text"), cleaning.FIX_SETS["HTML"]))
 
 
+@query(_md5_of(ref=PIECES["ref"][1].replace("Again", "<Again>")))
+def replaced_outside_references(s, d):
+    f = wikitext.rewrite_udf(lambda t: wikitext.replace_except(t, r"\b(Book|Again)\b", r"<\1>", ["ref", "template", "link", "comment", "nowiki"]))
+    return _rewritten(s, d, f("text"))
+
+
 @query(_md5_of(badlink="[http://www.example.com/a|Name] and [http://www.example.com/b.html File].\n"))
 def fix_syntax_safe(s, d):
     return _rewritten(s, d, cleaning.cleaned(F.col("text"), cleaning.FIX_SETS["syntax-safe"]))

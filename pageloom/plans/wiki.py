@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.functions import language, rewriting, scalars, titles, wikitext
+from pageloom.functions import cleaning, language, rewriting, scalars, titles, wikitext
 from pageloom.operators import blocks, graph, history, pages, watching
 from pageloom.plans.generators import Relations, page_query
 from pageloom.session import table
@@ -135,7 +135,7 @@ def short_pages(s, d):
     return pages.shortest(page(s, d).filter("ns = 0"), 50).select("page_id", "title", "rank")
 
 
-@query()
+@query(f"WITH {PAGE} SELECT page_id, title FROM page ORDER BY md5('7:' || CAST(page_id AS VARCHAR)), page_id LIMIT 20")
 def random_pages(s, d):
     return pages.random_pages(page(s, d), 20, seed=7).select("page_id", "title")
 
@@ -158,11 +158,6 @@ def uncategorized_pages(s, d):
     return pages.without(page(s, d).filter("ns IN (2, 4, 14)"), catlink(s, d), other_key="member").select("page_id", "title")
 
 
-@query(f"WITH {PAGE}, {CATEGORY} SELECT page_id, title FROM page WHERE ns = 14 AND page_id NOT IN (SELECT category FROM catlink)")
-def unused_categories(s, d):
-    return pages.without(page(s, d).filter("ns = 14"), catlink(s, d), other_key="category").select("page_id", "title")
-
-
 @query(f"""WITH {LINK}, {PAGE} SELECT CAST(to_id + 1500 AS BIGINT) AS target, count(*) AS links FROM link WHERE to_id + 1500 NOT IN (SELECT page_id FROM page) GROUP BY 1""")
 def wanted_pages(s, d):
     targets = link(s, d).select((F.col("to_id") + 1500).alias("target"))
@@ -319,7 +314,9 @@ def _sightings(s, d):
     return table(s, d, "events").select((F.col("event_id") % 97).cast("bigint").alias("page"), F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(event_id % 97 AS BIGINT) AS page, epoch_us(ts) AS t FROM events), nx AS (SELECT a.page, a.t, b.t AS t2 FROM e a ASOF JOIN e b ON a.page = b.page AND b.t > a.t + 3600000000),
+ w AS (SELECT page, min(t) AS t FROM e GROUP BY page UNION ALL SELECT w.page, nx.t2 FROM w JOIN nx ON w.page = nx.page AND w.t = nx.t), m AS (SELECT page, min(t) AS lo, max(t) AS hi FROM e GROUP BY page)
+ SELECT m.page, any_value(lo) // 1000000 AS first_seen, any_value(hi) // 1000000 AS last_seen, count(*) AS sightings, any_value(hi) - any_value(lo) > 7 * 86400 * 1000000 AS report FROM m JOIN w USING (page) GROUP BY m.page""")
 def dead_link_sightings(s, d):
     return history.counted_sightings(_sightings(s, d), "page", "ts").withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
 
@@ -368,11 +365,6 @@ def references_of_pages(s, d):
     return _docs(s, d).select("doc_id", F.explode(F.transform(F.regexp_extract_all("text", F.lit(r"(?is)<ref[^>/]*>(.*?)</ref>"), F.lit(1)), lambda x: F.trim(x))).alias("ref")).groupBy("doc_id", "ref").agg(F.count("*").alias("uses"))
 
 
-@query(r"""SELECT doc_id, url FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[^\s\[\]<>"''|{}]*[^\s\[\]<>"''|{}.,;:!?)]')) AS url FROM documents)""")
-def external_links(s, d):
-    return _docs(s, d).select("doc_id", F.explode(wikitext.external_urls(F.col("text"))).alias("url"))
-
-
 @query(r"""SELECT host, count(*) AS urls, count(DISTINCT url) AS different FROM (SELECT url, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS host FROM csv_ingestion WHERE url IS NOT NULL) GROUP BY host""")
 def linksearch_hosts(s, d):
     u = table(s, d, "csv_ingestion").filter("url IS NOT NULL").select("url", F.regexp_extract("url", r"^[a-z]+://([^/:?#]*)", 1).alias("host"))
@@ -402,7 +394,7 @@ def cosmetic_steps(s, d):
 
 @query()
 def cosmetic_changes(s, d):
-    t = _docs(s, d).select("doc_id", "text", wikitext.cosmetic(F.col("text")).alias("new"))
+    t = _docs(s, d).select("doc_id", "text", cleaning.cleaned(F.col("text")).alias("new"))
     return t.filter("text <> new").select("doc_id", F.md5("new").alias("h"))
 
 
@@ -652,20 +644,14 @@ def transliterated_titles(s, d):
 
 @query()
 def fixed_texts(s, d):
-    f = wikitext.rewrite_udf(rewriting.fixed)
-    return _docs(s, d).select("doc_id", "text", f("text").alias("new")).filter("text <> new").select("doc_id", F.md5("new").alias("h"))
+    """Texts changed by the fix sets that need no supervision."""
+    steps = tuple(x for name, fix in cleaning.FIX_SETS.items() if name not in cleaning.SUPERVISED for x in fix)
+    return _docs(s, d).select("doc_id", "text", cleaning.cleaned(F.col("text"), steps).alias("new")).filter("text <> new").select("doc_id", F.md5("new").alias("h"))
 
 
 @query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)</ref>') AND NOT regexp_matches(text, '(?i)<references\s*/?>|\{\{\s*(?:Reflist|References)\s*[|}]')""")
 def pages_lacking_references(s, d):
-    t = wikitext.without_disabled_parts(F.col("text"))
-    return _docs(s, d).filter(t.rlike(r"(?i)</ref>") & ~t.rlike(r"(?i)<references\s*/?>|\{\{\s*(?:Reflist|References)\s*[|}]")).select("doc_id")
-
-
-@query(r"""SELECT doc_id, title, contains(text, '[[' || title || ']]') OR contains(text, '[[' || title || '|') AS linked FROM documents WHERE title IS NOT NULL AND text IS NOT NULL AND (contains(text, '[[' || title || ']]') OR contains(text, '[[' || title || '|'))""")
-def self_links(s, d):
-    hit = F.contains("text", F.concat(F.lit("[["), F.col("title"), F.lit("]]"))) | F.contains("text", F.concat(F.lit("[["), F.col("title"), F.lit("|")))
-    return _docs(s, d).filter(hit).select("doc_id", "title", F.lit(True).alias("linked"))
+    return _docs(s, d).filter(rewriting.references_lacking(F.col("text"))).select("doc_id")
 
 
 @query(f"""WITH {PAGE}, {CATEGORY}, u AS (SELECT page_id, ns, title, min(source) AS source FROM (SELECT page_id, ns, title, 0 AS source FROM page WHERE ns <> 14 AND page_id IN (SELECT member FROM catlink WHERE category = (SELECT page_id FROM page WHERE title = 'Category:ASIA'))

@@ -28,11 +28,26 @@ def restrictions(c: Column) -> tuple[Column, Column]:
     return of("edit"), of("move")
 
 
+_CORRUPT = "_corrupt_record"
+
+
+def _raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    schema = T.StructType([*PAGE.fields, T.StructField(_CORRUPT, _TEXT)])
+    return spark.read.format("xml").option("rowTag", "page").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT).option("ignoreNamespace", "true").schema(schema).load(path)
+
+
+def xml_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(title, record) of the pages of an export that can't be read, with what could be read of the title."""
+    # only what is read can be found unreadable, so the (always true) condition on a hash asks for all columns
+    everything = F.xxhash64(*[F.col(f.name) for f in PAGE.fields]) >= F.lit(-(1 << 63))
+    return _raw_pages(spark, path).filter(F.col(_CORRUPT).isNotNull() & everything).select("title", F.col(_CORRUPT).alias("record"))
+
+
 def xml_dump(spark: SparkSession, path: str, all_revisions: bool = False) -> DataFrame:
     """Pages of an export (plain, .bz2 or .gz; large dumps are split at <page>), one row for each
     revision, or only the first of each page. Null text is read as empty; the schema is fixed, so
-    pages with one revision and with many read alike; pages that can't be read are left out."""
-    raw = spark.read.format("xml").option("rowTag", "page").option("mode", "DROPMALFORMED").option("ignoreNamespace", "true").schema(PAGE).load(path)
+    pages with one revision and with many read alike; ``xml_rejects`` has the pages that can't be read."""
+    raw = _raw_pages(spark, path).filter(f"{_CORRUPT} IS NULL")
     revs = F.col("revision") if all_revisions else F.slice("revision", 1, 1)
     edit, move = restrictions(F.col("restrictions"))
     rows = raw.select("title", "ns", F.col("id").alias("page_id"), edit.alias("edit_restriction"), move.alias("move_restriction"), F.col("redirect").isNotNull().alias("has_redirect"), F.posexplode(revs).alias("seq", "r"))
@@ -125,9 +140,10 @@ def pages_in_text(spark: SparkSession, path: str, begin: str = "{{-start-}}", en
 def titles_in_text(spark: SparkSession, path: str) -> DataFrame:
     """Titles in [[ ]]; or, if there is none in all the text, one title a line."""
     lines = spark.read.text(path).select("value", F.regexp_extract_all("value", F.lit(r"\[\[([^\[\]|\n]+)"), F.lit(1)).alias("links"))
-    if lines.filter(F.size("links") > 0).isEmpty():
-        return lines.select(F.trim("value").alias("title")).filter("title <> ''")
-    return lines.select(F.explode("links").alias("title"))
+    linked = lines.select(F.explode("links").alias("title")).withColumn("kind", F.lit(1))
+    every = linked.unionByName(lines.select(F.trim("value").alias("title")).filter("title <> ''").withColumn("kind", F.lit(0)))
+    best = every.agg(F.max("kind").alias("kind"))  # one row
+    return every.join(F.broadcast(best), "kind").select("title")
 
 
 def hints_in_log(spark: SparkSession, path: str) -> DataFrame:
