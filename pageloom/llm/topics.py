@@ -32,6 +32,8 @@ PASSES = 4
 EARLY_PASSES = 1
 EARLY_SHARE = 0.3
 INNER = 5
+#: A document of one language may have this share of its words (names, shared words) in topics of others.
+ACTIVE = 0.05
 BLOCK_WORDS = 16_384
 #: Each subject has a topic for each language, unless that makes more topics than this; then one for all.
 MAX_TOPICS = 200
@@ -89,6 +91,8 @@ class Model:
     subject_of: list[str | None] = field(default_factory=list)
     #: How the occurrences of each word in the corpus (and its prior) are shared by the subjects.
     word_subjects: np.ndarray | None = None
+    #: Topics come in so many groups (languages) of equal size.
+    groups: int = 1
     numbers: dict[str, int] = field(default_factory=dict)
 
 
@@ -129,19 +133,57 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFra
 # ---- inference --------------------------------------------------------------------------------
 
 
-def infer(topics: np.ndarray, words: np.ndarray, doc: np.ndarray, n_docs: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Mean-field inference of a block of documents (in order): the topic shares of each word, or of
-    each different word that comes so many ``times``, and each document's counts."""
+def infer_parts(topics: np.ndarray, words: np.ndarray, doc: np.ndarray, n_docs: int, times: np.ndarray, groups: int = 1, first: np.ndarray | None = None):
+    """Mean-field inference of a block of documents (in order). Gives parts (rows, columns, shares): the
+    topic shares of those words for those topics (0 for other topics), and last each document's counts.
+    ``times``: how often each word comes. ``groups``: topics come in so many groups (languages) of equal
+    size; a document whose first step gives one group all but ACTIVE of its words goes on with the
+    topics of that group only, all others with all topics. ``first``: ``first_step`` of the topics."""
     k = topics.shape[0]
-    like = np.take(topics.T, words, axis=0)
-    theta = np.full((n_docs, k), 1.0, np.float32)
-    begin = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, int)
-    r = like
-    for _ in range(INNER if len(doc) else 0):
-        r = like * np.take(theta, doc, axis=0)
-        r *= 1 / (r.sum(1, keepdims=True) + np.float32(1e-30))
-        theta = np.full((n_docs, k), ALPHA, np.float32)
-        theta[doc[begin]] += np.add.reduceat(r if times is None else r * times, begin, axis=0)
+    size = k // groups
+    first = first_step(topics) if first is None else first
+    theta = np.full((n_docs, k), ALPHA, np.float32)
+    own = np.full(n_docs, -1)
+    if groups > 1:
+        begin = np.flatnonzero(np.diff(doc, prepend=-1))
+        by = np.zeros((n_docs, groups), np.float32)
+        by[doc[begin]] = np.add.reduceat(first.reshape(len(first), groups, size).sum(2)[words] * times, begin, axis=0)
+        best = by.argmax(1)
+        alone = by[np.arange(n_docs), best] >= (1 - ACTIVE) * by.sum(1)
+        own[alone] = best[alone]
+    of_word, parts = own[doc], []
+    for g in np.unique(of_word):
+        cols = slice(0, k) if g < 0 else slice(g * size, (g + 1) * size)
+        at = np.flatnonzero(of_word == g) if groups > 1 else np.arange(len(doc))
+        w, d, t = words[at], doc[at], times[at]
+        begin = np.flatnonzero(np.diff(d, prepend=-1))
+        place = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(d)))  # of each word's document among these
+        like = topics[cols].T[w]
+        x = np.add.reduceat(first[w, cols] * t, begin, axis=0) + np.float32(ALPHA)
+        for i in range(max(1, INNER - 1)):
+            before = x
+            scale = t[:, 0] / (np.einsum("ij,ij->i", like, x[place]) + np.float32(1e-30))
+            x = before * np.add.reduceat(like * scale[:, None], begin, axis=0) + np.float32(ALPHA)
+        shares = like * before[place]
+        shares *= (scale / t[:, 0])[:, None]
+        theta[d[begin], cols] = x
+        parts.append((at, cols, shares))
+    return parts, theta
+
+
+def first_step(topics: np.ndarray) -> np.ndarray:
+    """The shares of each word where all topics are equal."""
+    return np.ascontiguousarray((topics / (topics.sum(0) + np.float32(1e-30))).T.astype(np.float32))
+
+
+def infer(topics: np.ndarray, words: np.ndarray, doc: np.ndarray, n_docs: int, times: np.ndarray | None = None, groups: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The topic shares of each word, and each document's counts."""
+    r = np.zeros((len(words), topics.shape[0]), np.float32)
+    if not len(doc):
+        return r, np.full((n_docs, topics.shape[0]), ALPHA, np.float32)
+    parts, theta = infer_parts(topics, words, doc, n_docs, np.ones((len(words), 1), np.float32) if times is None else times, groups)
+    for at, cols, w in parts:
+        r[at, cols] = w
     return r, theta
 
 
@@ -166,7 +208,7 @@ def different(words: np.ndarray, doc: np.ndarray, v: int) -> tuple[np.ndarray, n
     return pair // v, pair % v, times[:, None].astype(np.float32)
 
 
-def _pass(corpus: DataFrame, topics: np.ndarray) -> np.ndarray:
+def _pass(corpus: DataFrame, topics: np.ndarray, groups: int = 1) -> np.ndarray:
     """Topic counts of each word over all documents."""
     k, v = topics.shape
     shipped = corpus.sparkSession.sparkContext.broadcast(topics.astype(np.float32))
@@ -175,17 +217,17 @@ def _pass(corpus: DataFrame, topics: np.ndarray) -> np.ndarray:
         import pyarrow as pa
 
         t = shipped.value
-        total = np.zeros((v, k))
+        first, total = first_step(t), np.zeros((v, k))
         for b in batches:
             for part, words, doc in _blocks(b):
-                if len(words):
-                    doc, words, times = different(words, doc, v)
-                    r, _ = infer(t, words, doc, part.num_rows, times)
-                    r *= times
-                    order = np.argsort(words, kind="stable")
-                    ws = words[order]
+                if not len(words):
+                    continue
+                doc, words, times = different(words, doc, v)
+                for at, cols, w in infer_parts(t, words, doc, part.num_rows, times, groups, first)[0]:
+                    order = np.argsort(words[at], kind="stable")
+                    ws = words[at][order]
                     begin = np.flatnonzero(np.diff(ws, prepend=-1))
-                    total[ws[begin]] += np.add.reduceat(r[order], begin, axis=0)
+                    total[ws[begin], cols] += np.add.reduceat((w * times[at])[order], begin, axis=0)
         seen = np.flatnonzero(total.sum(1) > 0)
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), *[pa.array(total[seen, j]) for j in range(k)]], names=["word", *[f"t{j}" for j in range(k)]])
@@ -254,10 +296,10 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
             prior[at + len(subjects) + 1, numbers[w]] += weight * bare * general[w]
     mass = early = prior
     for i in range(passes):
-        mass = _pass(corpus, mass / mass.sum(1, keepdims=True)) + prior
+        mass = _pass(corpus, mass / mass.sum(1, keepdims=True), len(groups)) + prior
         early = mass if i < EARLY_PASSES else early
     topics = mass / mass.sum(1, keepdims=True)
-    model = Model(words, subjects, topics, numbers=numbers)
+    model = Model(words, subjects, topics, numbers=numbers, groups=len(groups))
     model.subject_of = map_topics(model, {w: np.array([by[s] / max(1, sizes[s]) for s in subjects]) for w, by in seen.items() if sum(by.values()) > 1})
     to = _to_subjects(model)
     # later passes let a topic take in whole turns of phrase; words count for a subject only if the
@@ -313,11 +355,11 @@ def _to_subjects(model: Model) -> np.ndarray:
 
 # ---- assignment -------------------------------------------------------------------------------
 
-def word_scores(topics, to, word_subjects, words, doc, n_docs) -> np.ndarray:
+def word_scores(topics, to, word_subjects, words, doc, n_docs, groups: int = 1) -> np.ndarray:
     """How much each word speaks for each subject: its shares over the whole corpus, weighed by the
     document's topic proportions, so that a word of several subjects goes with its document."""
     d, w, times = different(words, doc, topics.shape[1])
-    _, theta = infer(topics, w, d, n_docs, times)
+    _, theta = infer(topics, w, d, n_docs, times, groups)
     of_doc = theta @ to + DOC_PRIOR
     own = word_subjects.T[words]
     total = own.sum(1, keepdims=True)
@@ -334,13 +376,13 @@ ASSIGNED = "doc_id bigint, subject string, sentences int, about int, share doubl
 def assign(model: Model, corpus: DataFrame) -> DataFrame:
     """(doc_id, subject, sentences, about, share) of every document and each subject that one of its
     sentences is about. A document without a sentence has no row; repeated documents have each theirs."""
-    shipped = corpus.sparkSession.sparkContext.broadcast((model.topics.astype(np.float32), _to_subjects(model), model.word_subjects, model.subjects))
+    shipped = corpus.sparkSession.sparkContext.broadcast((model.topics.astype(np.float32), _to_subjects(model), model.word_subjects, model.subjects, model.groups))
 
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        topics, to, word_subjects, subjects = shipped.value
+        topics, to, word_subjects, subjects, groups = shipped.value
         if not subjects:
             return
         schema = pa.schema([("doc_id", pa.int64()), ("subject", pa.string()), ("sentences", pa.int32()), ("about", pa.int32()), ("share", pa.float64())])
@@ -352,7 +394,7 @@ def assign(model: Model, corpus: DataFrame) -> DataFrame:
                     continue
                 weight = np.zeros((len(lengths), len(subjects)), np.float32)
                 if len(words):
-                    own = word_scores(topics, to, word_subjects, words, doc, b.num_rows)
+                    own = word_scores(topics, to, word_subjects, words, doc, b.num_rows, groups)
                     sentence = np.repeat(np.arange(len(lengths)), lengths)
                     begin = np.flatnonzero(np.diff(sentence, prepend=-1))
                     weight[sentence[begin]] = np.add.reduceat(own, begin, axis=0)
