@@ -89,7 +89,8 @@ class DeliveryVectors:
             import pyarrow.parquet as pq
             from pyarrow import fs
 
-            store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            uri = path.replace("s3a://", "s3://", 1)  # the same store under Arrow's name
+            store, root = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
             cache: dict = {}
 
             def vectors(file: int) -> dict:

@@ -2,7 +2,8 @@
 
 A batch's list offsets give each child its parent's index; parents' keys follow by a vectorised
 take. Only responses that did not fit the struct (text in ``raw``) are parsed as JSON; they are
-brought into the same struct and go through the same kernels.
+brought into the same struct and go through the same kernels. ``child_table`` does the same for any
+nested column, by its schema; ``unreadable`` lists the responses that give no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import json
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 TEXTS = ("Titel", "Inhoud", "hdl", "oldid", "timestamp", "Datering", "Inhoudsdatering", "Nummer_toegang")
 FLAGS = ("auteursrechten_voorwaarde_CC_BY_SA", "auteursrechten_voorwaarde_webdisplay")
@@ -180,3 +181,94 @@ def flat_table(df: DataFrame, name: str, req_col: str = "req_id", response_col:
                     yield from t.to_batches()
 
     return narrow.mapInArrow(run, ddl)
+
+
+def unreadable(df: DataFrame, req_col: str = "req_id", response_col: str = "response", raw_col: str = "raw") -> DataFrame:
+    """(req_id, reason, raw) of the responses that give no rows: 'missing' without a struct and without
+    text, 'unreadable' where the text can't be read. No shuffle."""
+    narrow = df.filter(F.col(f"`{response_col}`").isNull()).select(F.col(f"`{req_col}`").alias("req_id"), F.col(f"`{raw_col}`").alias("raw"))
+
+    def run(batches):
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            reason = ["missing" if x is None else None if read_raw(x) is not None else "unreadable" for x in raw]
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(reason, pa.string()), b.column(1)], names=["req_id", "reason", "raw"])
+            yield out.filter(pc.is_valid(out.column(1)))
+
+    return narrow.mapInArrow(run, "req_id bigint, reason string, raw string")
+
+
+# ---- any schema -------------------------------------------------------------------------------
+
+
+def table_paths(kind: T.DataType, at: str = "") -> list[str]:
+    """The paths of all lists and maps of a type, outer ones first: each is a flat table."""
+    out: list[str] = []
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            out += table_paths(f.dataType, f"{at}.{f.name}" if at else f.name)
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        out += [at, *table_paths(kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType, f"{at}[]")]
+    return sorted(out, key=lambda p: p.count("[]"))
+
+
+def _leaves(kind: T.DataType, name: str) -> list[tuple[str, T.DataType]]:
+    """Scalar columns of a table's element: structs are spelled out, lists and maps are tables of their own."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in _leaves(f.dataType, f"{name}_{f.name}" if name else f.name)]
+    return [] if isinstance(kind, (T.ArrayType, T.MapType)) else [(name or "value", kind)]
+
+
+def _element(kind: T.DataType, path: str) -> tuple[T.DataType, int, bool]:
+    """The element's type at a path, how many lists lead there, and whether the last is a map."""
+    depth, is_map = 0, False
+    for part in path.split("."):
+        while part.endswith("[]"):
+            part = part[:-2] + "\0"
+        name, marks = part.rstrip("\0"), part.count("\0")
+        if name:
+            kind = next(f.dataType for f in kind.fields if f.name == name)
+        for _ in range(marks):
+            is_map = isinstance(kind, T.MapType)
+            kind, depth = kind.valueType if is_map else kind.elementType, depth + 1
+    is_map = isinstance(kind, T.MapType)
+    return kind.valueType if is_map else kind.elementType, depth + 1, is_map
+
+
+def child_table(df: DataFrame, key_col: str, column: str, path: str) -> DataFrame:
+    """The flat table of one list or map of a nested column, of whatever schema: the row's key, the
+    place in each list on the way (pos_1, pos_2, ...), the map's key, and the element's scalar fields.
+    ``path`` is one of ``table_paths`` of the column's type: names with '.', '[]' for a list or map that
+    is gone through. Null, missing and empty lists have no children; null elements come out as nulls."""
+    kind = df.schema[column].dataType
+    element, depth, is_map = _element(kind, path)
+    leaves = _leaves(element, "")
+    taken = {key_col, "map_key"} | {f"pos_{i}" for i in range(1, depth + 1)}
+    names = [n if n not in taken else f"{n}_" for n, _ in leaves]
+    fields = [T.StructField(key_col, df.schema[key_col].dataType), *[T.StructField(f"pos_{i}", T.IntegerType()) for i in range(1, depth + 1)], *([T.StructField("map_key", T.StringType())] if is_map else []), *[T.StructField(n, t) for n, (_, t) in zip(names, leaves)]]
+    steps = path.replace("[]", ".[]").split(".")
+
+    def flat(x: pa.Array, prefix: str = "") -> list[pa.Array]:
+        if pa.types.is_struct(x.type):
+            return [c for name, v in _fields(x).items() for c in flat(v)]
+        return [] if pa.types.is_list(x.type) or pa.types.is_large_list(x.type) or pa.types.is_map(x.type) else [x]
+
+    def run(batches):
+        for b in batches:
+            keys, x, places, map_key = b.column(0), b.column(1), [], None
+            for step in [*steps, "[]"]:
+                if step != "[]":
+                    x = _fields(x)[step]
+                    continue
+                if pa.types.is_large_list(x.type):
+                    x = x.cast(pa.list_(x.type.value_type))
+                through_map = pa.types.is_map(x.type)
+                x, parent, place = _children(x)
+                keys, places = keys.take(parent), [*[p.take(parent) for p in places], place]
+                if through_map:
+                    pair = _fields(x)
+                    map_key, x = pair["key"], pair["value"]
+            columns = [keys, *places, *([map_key] if is_map else []), *flat(x)]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+    return df.select(key_col, column).mapInArrow(run, T.StructType(fields))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pageloom.operators.deliveries import first_deliveries, later_deliveries
-from pageloom.operators.nested import FLAGS, flat_table
+from pageloom.operators.nested import FLAGS, child_table, flat_table, unreadable
 from pageloom.operators.timestamps import day_text, normalised_instants
 from pageloom.session import table
 
@@ -44,6 +44,17 @@ def p2_images(spark: SparkSession, d: str) -> DataFrame:
     return flat_table(table(spark, d, "anefo"), "images")
 
 
+def p2_unreadable(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that give no rows, with the reason and the length of their text."""
+    return unreadable(table(spark, d, "anefo")).select("req_id", "reason", F.length("raw").cast("bigint").alias("length"))
+
+
+def p2_typed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Image files of the typed responses, by the column's own schema."""
+    files = child_table(table(spark, d, "anefo"), "req_id", "response", "docs[].images[]")
+    return files.select("req_id", F.col("pos_1").alias("doc_pos"), F.col("pos_3").alias("file_pos"), "url", "width", "height")
+
+
 def _other_days(spark: SparkSession, d: str) -> DataFrame:
     docs = flat_table(table(spark, d, "anefo"), "documents").select("doc_id", "Datering")
     other = docs.filter(F.col("doc_id").isNotNull() & ~F.col("Datering").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")).distinct()
@@ -68,7 +79,7 @@ def p3_block_times(spark: SparkSession, d: str) -> DataFrame:
     return out.select("delivery_no", F.to_timestamp("norm", "yyyy-MM-dd'T'HH:mm:ssX").alias("at"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_first_deliveries, p2_found, p2_responses, p2_documents, p2_items, p2_images, p3_found, p3_block_times)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_first_deliveries, p2_found, p2_responses, p2_documents, p2_items, p2_images, p2_unreadable, p2_typed_files, p3_found, p3_block_times)}
 
 _BLOCK = r"""WITH d AS (SELECT *, regexp_extract(trim(id, E' \t\n\r'), '^[+]?0*([0-9]+)$', 1) AS k FROM apispec),
  r AS (SELECT *, CASE WHEN k IS NULL OR k = '' THEN 1 ELSE row_number() OVER (PARTITION BY k ORDER BY received_at, delivery_no) END AS n FROM d)"""
@@ -105,6 +116,9 @@ SQL = {
     "p2_items": _RESP + " SELECT req_id, CAST(doc_pos AS INT) AS doc_pos, doc_id, field, CAST(item_pos AS INT) AS item_pos, value FROM i WHERE value <> ''",
     "p2_images": _RESP + _IMAGES + """ SELECT req_id, CAST(doc_pos AS INT) AS doc_pos, doc_id, image_key, CAST(file_pos AS INT) AS file_pos, f->>'url' AS url,
  CAST(f->>'width' AS BIGINT) AS width, CAST(f->>'height' AS BIGINT) AS height FROM im""",
+    "p2_unreadable": _RESP + " SELECT req_id, CASE WHEN raw IS NULL THEN 'missing' ELSE 'unreadable' END AS reason, length(raw) AS length FROM anefo WHERE response IS NULL AND req_id NOT IN (SELECT req_id FROM r WHERE r IS NOT NULL)",
+    "p2_typed_files": """WITH x AS (SELECT req_id, unnest(response.docs) AS doc, unnest(range(len(response.docs))) AS doc_pos FROM anefo WHERE response IS NOT NULL), m AS (SELECT req_id, doc_pos, unnest(map_values(doc.images)) AS files FROM x),
+ f AS (SELECT req_id, doc_pos, unnest(files) AS f, unnest(range(len(files))) AS file_pos FROM m) SELECT req_id, CAST(doc_pos AS INT) AS doc_pos, CAST(file_pos AS INT) AS file_pos, f.url AS url, f.width AS width, f.height AS height FROM f""",
     "p2_documents": _RESP + " SELECT req_id, CAST(doc_pos AS INT) AS doc_pos, doc->>'id' AS doc_id, "
     + ", ".join(f"doc->>'{c}' AS {c if c != 'timestamp' else chr(34) + c + chr(34)}" for c in ("Titel", "Inhoud", "hdl", "oldid", "timestamp", "Datering", "Inhoudsdatering", "Nummer_toegang"))
     + ", " + ", ".join(f"doc->>'{c}' AS {c}" for c in ("auteursrechten_voorwaarde_CC_BY_SA", "auteursrechten_voorwaarde_webdisplay")) + " FROM dd",

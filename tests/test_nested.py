@@ -56,3 +56,29 @@ def test_tables_keep_places_and_parents(spark):
 def test_odd_raw(text):
     v = read_raw(text)
     assert v is None or v["docs"] == []
+
+
+def test_any_schema(spark):
+    from pageloom.operators.nested import child_table, table_paths
+
+    ddl = "k string, x struct<a:int, b:array<struct<c:string, d:array<int>, e:map<string,array<struct<f:int,pos_1:int>>>, g:struct<h:boolean>>>, m:map<string,int>>"
+    rows = [
+        ("r1", (1, [("c1", [1, None, 3], {"u": [(7, 8), (9, None)], "v": []}, (True,)), None, ("c2", [], None, None)], {"p": 1, "q": None})),
+        ("r2", None), ("r3", (2, None, {})), ("r4", (3, [], None)),
+    ]
+    df = spark.createDataFrame(rows, ddl)
+    assert table_paths(df.schema["x"].dataType) == ["b", "m", "b[].d", "b[].e", "b[].e[]"]
+    got = lambda p: [tuple(r) for r in child_table(df, "k", "x", p).collect()]
+    assert got("b") == [("r1", 0, "c1", True), ("r1", 1, None, None), ("r1", 2, "c2", None)]
+    assert got("b[].d") == [("r1", 0, 0, 1), ("r1", 0, 1, None), ("r1", 0, 2, 3)]
+    assert got("b[].e[]") == [("r1", 0, 0, 0, 7, 8), ("r1", 0, 0, 1, 9, None)]
+    assert sorted(got("m"), key=str) == [("r1", 0, "p", 1), ("r1", 1, "q", None)]
+    assert child_table(df.limit(0), "k", "x", "b").count() == 0
+
+
+def test_unreadable(spark):
+    from pageloom.operators.nested import unreadable
+
+    ddl = "req_id bigint, response struct<numFound:int>, raw string"
+    df = spark.createDataFrame([(1, (1,), None), (2, None, '{"response": {"numFound": 3}}'), (3, None, '{"resp'), (4, None, None), (5, None, "[]")], ddl)
+    assert sorted((r.req_id, r.reason) for r in unreadable(df).collect()) == [(3, "unreadable"), (4, "missing"), (5, "unreadable")]
