@@ -11,6 +11,7 @@ sentences.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -21,10 +22,11 @@ from pageloom.llm.lookalikes import canonical
 from pageloom.llm.prose import complete, pieces, prose
 from pageloom.session import materialised
 
-#: The vocabulary holds at most this many words, the commonest; the labelled examples' words are always in it.
+#: So many words, the commonest (of at least MIN_SHARE of all words), have a column of their own, and all words of the
+#: labelled examples; every other word counts in one of TAIL columns by its hash. No word is left out.
 MAX_VOCABULARY = 40_000
-#: and words of at least this share of all words.
 MIN_SHARE = 1e-5
+TAIL = 1024
 #: Labelled examples are held on the driver; at most this many.
 MAX_EXAMPLES = 100_000
 PASSES = 4
@@ -35,8 +37,8 @@ INNER = 5
 #: A document of one language may have this share of its words (names, shared words) in topics of others.
 ACTIVE = 0.05
 BLOCK_WORDS = 16_384
-#: Each subject has a topic for each language, unless that makes more topics than this; then one for all.
-MAX_TOPICS = 200
+#: The model (topics x columns) is held by the driver and each worker; more numbers than this are refused.
+MAX_MODEL = 200_000_000
 ALPHA = 0.1
 #: The prior of a word counts this many times its own number in the corpus, by what the examples say of it.
 SEED_WEIGHT = 5.0
@@ -94,6 +96,7 @@ class Model:
     #: Topics come in so many groups (languages) of equal size.
     groups: int = 1
     numbers: dict[str, int] = field(default_factory=dict)
+    stop: frozenset = frozenset()
 
 
 # ---- texts as numbers -------------------------------------------------------------------------
@@ -105,22 +108,24 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return words.filter(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary) -> DataFrame:
-    """(doc_id, words array<int>, lengths array<int>): the known words of all sentences in a row, and
-    how many each sentence has (sentences without known words count too)."""
+def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary, stop) -> DataFrame:
+    """(doc_id, words array<int>, lengths array<int>): the words of all sentences in a row but for those
+    in ``stop``, and how many each sentence has (sentences without such words count too). Words that
+    the vocabulary doesn't number are one of TAIL behind its numbers."""
 
     def number(batches):
         import pyarrow as pa
 
         from pageloom.llm.topics import sentences
 
-        get = vocabulary.value.get
+        numbers = vocabulary.value
+        get, v, crc = numbers.get, len(numbers), zlib.crc32
         for b in batches:
             words, lengths, ends, sentence_ends = [], [], [0], [0]
             for t in b.column(1).to_pylist():
                 for s in sentences(t):
                     before = len(words)
-                    words += [k for w in s if (k := get(w)) is not None]
+                    words += [k if (k := get(w)) is not None else v + crc(w.encode()) % TAIL for w in s if w not in stop.value]
                     lengths.append(len(words) - before)
                 ends.append(len(words))
                 sentence_ends.append(len(lengths))
@@ -275,12 +280,16 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     often = {r[0]: r[1] for r in counts.filter(F.col("n") >= max(5, MIN_SHARE * total)).orderBy(F.desc("n"), "word").limit(MAX_VOCABULARY).select("word", "n").collect()}
     words = sorted({*often, *seen} - stop)
     numbers = {w: i for i, w in enumerate(words)}
-    corpus = materialised(numbered(docs, id_col, text_col, docs.sparkSession.sparkContext.broadcast(numbers)))
+    send = docs.sparkSession.sparkContext.broadcast
+    corpus = materialised(numbered(docs, id_col, text_col, send(numbers), send(frozenset(stop))))
     each = len(subjects) + GENERAL_TOPICS + FREE_TOPICS
-    groups = langs if langs and len(langs) * each <= MAX_TOPICS else [None]
+    groups = langs or [None]
+    words += [f"#{i}" for i in range(TAIL)]  # no words: the columns of the others
     k, v = len(groups) * each, len(words)
-    if not subjects or not v:
-        return Model(words, subjects, np.full((max(k, 1), max(v, 1)), 1 / max(v, 1)), [None] * max(k, 1), np.zeros((len(subjects), max(v, 1)), np.float32), numbers), corpus
+    if k * v > MAX_MODEL:
+        raise ValueError(f"a model of {k} topics and {v} columns")
+    if not subjects:
+        return Model(words, subjects, np.full((max(k, 1), max(v, 1)), 1 / max(v, 1)), [None] * max(k, 1), np.zeros((len(subjects), max(v, 1)), np.float32), numbers, frozenset(stop)), corpus
     prior = np.full((k, v), 0.01)
     prior[len(subjects) + GENERAL_TOPICS :: each] = FREE_PRIOR
     for w, p in odds.items():
@@ -299,7 +308,7 @@ def fit(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
         mass = _pass(corpus, mass / mass.sum(1, keepdims=True), len(groups)) + prior
         early = mass if i < EARLY_PASSES else early
     topics = mass / mass.sum(1, keepdims=True)
-    model = Model(words, subjects, topics, numbers=numbers, groups=len(groups))
+    model = Model(words, subjects, topics, numbers=numbers, stop=frozenset(stop), groups=len(groups))
     model.subject_of = map_topics(model, {w: np.array([by[s] / max(1, sizes[s]) for s in subjects]) for w, by in seen.items() if sum(by.values()) > 1})
     to = _to_subjects(model)
     # later passes let a topic take in whole turns of phrase; words count for a subject only if the

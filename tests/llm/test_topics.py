@@ -22,8 +22,8 @@ def test_held_out_examples(spark):
     every = table(spark, d, "subject_item")
     model, _ = topics.fit(table(spark, d, "documents"), every.filter("item_id % 4 <> 0"))
     items = every.filter("item_id % 4 = 0")
-    shared = spark.sparkContext.broadcast(model.numbers)
-    numbers = topics.numbered(items, "item_id", "text", shared)
+    send = spark.sparkContext.broadcast
+    numbers = topics.numbered(items, "item_id", "text", send(model.numbers), send(model.stop))
     got = topics.assign(model, numbers).toPandas().sort_values("about").groupby("doc_id").subject.last().to_dict()
     want = {r.item_id: r.subject for r in items.collect()}
     right = sum(got.get(i) == s for i, s in want.items())
