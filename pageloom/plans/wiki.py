@@ -316,7 +316,7 @@ def _sightings(s, d):
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(event_id % 97 AS BIGINT) AS page, epoch_us(ts) AS t FROM events), nx AS (SELECT page, t, min(t) OVER (PARTITION BY page ORDER BY t RANGE BETWEEN 3600000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS t2 FROM e),
  w AS (SELECT page, min(t) AS t FROM e GROUP BY page UNION ALL SELECT w.page, nx.t2 FROM w JOIN nx ON w.page = nx.page AND w.t = nx.t WHERE nx.t2 IS NOT NULL), m AS (SELECT page, min(t) AS lo, max(t) AS hi FROM e GROUP BY page)
- SELECT m.page, any_value(lo) // 1000000 AS first_seen, any_value(hi) // 1000000 AS last_seen, count(*) AS sightings, any_value(hi) - any_value(lo) > 7 * 86400 * 1000000 AS report FROM m JOIN w USING (page) GROUP BY m.page""")
+ SELECT m.page, any_value(lo) // 1000000 AS first_seen, any_value(hi) // 1000000 AS last_seen, count(*) AS sightings, any_value(hi) - any_value(lo) > 604800000000 AS report FROM m JOIN w USING (page) GROUP BY m.page""")
 def dead_link_sightings(s, d):
     return history.counted_sightings(_sightings(s, d), "page", "ts").withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
 
