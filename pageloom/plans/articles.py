@@ -313,12 +313,36 @@ def unused_categories(s, d):
     return without(known, used, key="category", other_key="category")
 
 
-@query(_WITH + rf""" SELECT page_id, unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 1)) AS category, unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 2)) AS sort_key FROM live""")
+@query(_WITH + rf""" SELECT page_id, unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 1)) AS category, coalesce(unnest(regexp_extract_all(t, '{wikitext.CATEGORY}', 2)), '') AS sort_key FROM live""")
 def article_categories(s, d):
     """Categories with their sort keys, outside comments and code."""
     return article(s, d).select("page_id", F.inline(wikitext.category_links(wikitext.without_disabled_parts(F.col("text")))))
 
 
+_ARGUMENTS = ["-transcludes:stub", "-filelinks:part_6.jpg", "-search:host7 category", "-withoutinterwiki", "-imageused:Part 9.jpg", "-weblink:host3.example.net", "-redirectonly:b", "-start:s"]
+
+
+@query(_WITH + _IMAGES.replace(" used AS", " used_i AS").replace("found AS", "found_i AS").replace("FROM found)", "FROM found_i)") + _TEMPLATES.replace("found AS", "found_t AS").replace("FROM found)", "FROM found_t)") + _LANG_SQL + r""",
+ r AS (SELECT '-transcludes:stub' AS argument, page_id FROM used WHERE template = 'Stub' UNION ALL SELECT '-filelinks:part_6.jpg', page_id FROM used_i WHERE file = 'Part 6.jpg' UNION ALL SELECT '-imageused:Part 9.jpg', page_id FROM used_i WHERE file = 'Part 9.jpg'
+ UNION ALL SELECT '-search:host7 category', page_id FROM article WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), 'host7') AND list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), 'category')
+ UNION ALL SELECT '-withoutinterwiki', page_id FROM article WHERE page_id NOT IN (SELECT page_id FROM langs) UNION ALL SELECT '-weblink:host3.example.net', page_id FROM article WHERE contains(text, '://host3.example.net/')
+ UNION ALL SELECT '-redirectonly:b', page_id FROM article WHERE contains(text, '#REDIRECT') AND title >= 'b' UNION ALL SELECT '-start:s', page_id FROM article WHERE title >= 's') SELECT argument, page_id FROM r""".replace("\\p", "\p"))
+def page_arguments(s, d):
+    """Page lists by arguments, each with its pages."""
+    from pageloom.plans.generators import Relations, page_query
+
+    a = article(s, d)
+    r = Relations(
+        a.select("page_id", F.lit(0).alias("ns"), "title", articles.redirect_target(F.col("text")).isNotNull().alias("is_redirect"), F.length("text").alias("length")), text=a, image=_image_use(s, d), template=articles.template_uses(a), language=_language_links(s, d),
+        url=a.select("page_id", F.explode(wikitext.external_urls(F.col("text"))).alias("url")),
+    )
+    out = None
+    for argument in _ARGUMENTS:
+        one = page_query(r, argument).select(F.lit(argument).alias("argument"), "page_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- rewriting: the SQL puts the rewritten pieces together --------------------------------------
 
 _HTML_DONE = "'''bold''' and ''thin''<br>\n----\n== Head ==\n"

@@ -22,8 +22,14 @@ class Relations:
     link: DataFrame | None = None  # from_id, to_id
     category: DataFrame | None = None  # member, category (page ids)
     revision: DataFrame | None = None  # page_id, user_name, ts
-    log: DataFrame | None = None  # page_id, type, ts
+    log: DataFrame | None = None  # page_id, type, ts, user_name
     url: DataFrame | None = None  # page_id, url
+    text: DataFrame | None = None  # page_id, text
+    image: DataFrame | None = None  # page_id, file
+    template: DataFrame | None = None  # page_id, template
+    language: DataFrame | None = None  # page_id, lang, title
+    watch: DataFrame | None = None  # page_id
+    bot: DataFrame | None = None  # user_name
 
 
 @dataclass
@@ -47,8 +53,7 @@ class PageQuery:
         elif name in ("titleregex", "titleregexnot"):
             self.filters.append(lambda p: pages.titles_matching(p, [value], inverse=name.endswith("not")))
         elif name.endswith("log"):
-            kind = name[:-3]
-            self.sources.append(self.relations.page.join(self.relations.log.filter(F.col("type") == kind).select("page_id").distinct(), "page_id", "left_semi"))
+            self.sources.append(_logged(self.relations, name[:-3], value))
         else:
             return False
         return True
@@ -75,7 +80,7 @@ def _titled(r: Relations, title: str) -> DataFrame:
 
 
 def _members(r: Relations, title: str, recurse: bool, subcategories: bool = False) -> DataFrame:
-    title, _, start = title.partition("|")
+    title, _, start = title.replace("#", "|").partition("|")
     root = _titled(r, f"Category:{title}").select(F.col("page_id").alias("node"))
     found = graph.closure(r.category.select(F.col("category").alias("parent"), F.col("member").alias("child")), root, None if recurse else 1).filter("depth > 0")
     out = r.page.join(found.select(F.col("node").alias("page_id")).distinct(), "page_id", "left_semi").filter(F.col("title") >= start)
@@ -90,12 +95,86 @@ def _linked(r: Relations, title: str, back: bool) -> DataFrame:
 
 def _edited_by(r: Relations, value: str) -> DataFrame:
     user, _, n = value.partition(";")
-    own = pages.first_per_key(r.revision.filter(F.col("user_name") == user).select("user_name", "page_id", "ts"), ["user_name"], int(n or 500), F.desc("ts"), F.desc("page_id"))
+    last = r.revision.filter(F.col("user_name") == user).groupBy("user_name", "page_id").agg(F.max("ts").alias("ts"))
+    own = pages.first_per_key(last, ["user_name"], int(n or 250), F.desc("ts"), F.desc("page_id"))
     return r.page.join(own.select("page_id").distinct(), "page_id", "left_semi")
 
 
+def _of(r: Relations, ids: DataFrame) -> DataFrame:
+    return r.page.join(ids.select("page_id").distinct(), "page_id", "left_semi")
+
+
+def _logged(r: Relations, kind: str, value: str) -> DataFrame:
+    """'-movelog', '-deletelog:10', '-protectlog:User;20': pages of the last entries of a log (of a user)."""
+    user, _, n = value.partition(";")
+    if user.isdigit() and not n:
+        user, n = "", user
+    entries = r.log.filter(F.col("type") == kind)
+    if user:
+        entries = entries.filter(F.col("user_name") == user)
+    return _of(r, entries.orderBy(F.desc("ts"), F.desc("page_id")).limit(int(n or 500)))
+
+
+def _newest(r: Relations, value: str, n: int, bots: bool = True) -> DataFrame:
+    """Pages by their first revision, the newest first."""
+    revisions = r.revision if bots or r.bot is None else r.revision.join(r.bot.select("user_name").distinct(), "user_name", "left_anti")
+    first = revisions.groupBy("page_id").agg(F.min("ts").alias("ts"))
+    return _of(r, first.orderBy(F.desc("ts"), F.desc("page_id")).limit(int(value or n)))
+
+
+def _recent(r: Relations, value: str, bots: bool) -> DataFrame:
+    revisions = r.revision if bots or r.bot is None else r.revision.join(r.bot.select("user_name").distinct(), "user_name", "left_anti")
+    last = revisions.groupBy("page_id").agg(F.max("ts").alias("ts"))
+    return _of(r, last.orderBy(F.desc("ts"), F.desc("page_id")).limit(int(value or 100)))
+
+
+def _found(r: Relations, words: str) -> DataFrame:
+    from pageloom.functions.articles import snippets
+
+    return _of(r, snippets(r.text, words.split()))
+
+
+def _in_file(r: Relations, path: str) -> DataFrame:
+    from pageloom.sources.dumps import titles_in_text
+
+    return r.page.join(titles_in_text(r.page.sparkSession, path).distinct(), "title", "left_semi")
+
+
+def _images_of(r: Relations, title: str) -> DataFrame:
+    shown = r.image.join(_titled(r, title).select("page_id"), "page_id", "left_semi").select(F.concat(F.lit("File:"), "file").alias("title")).distinct()
+    return r.page.join(shown, "title", "left_semi")
+
+
+def _capital(v: str) -> str:
+    return v[:1].upper() + v[1:].replace("_", " ")
+
+
+def _from(r: Relations, value: str, redirects: bool | None) -> DataFrame:
+    """A title to begin at; a namespace's name before it begins in that namespace."""
+    from pageloom.functions.titles import DEFAULT_RULES
+
+    head, colon, _ = value.partition(":")
+    return pages.all_pages(r.page, DEFAULT_RULES.names.get(head.lower(), 0) if colon else 0, value, redirects)
+
+
 _SOURCES: dict[str, Callable[[Relations, str], DataFrame]] = {
-    "start": lambda r, v: pages.all_pages(r.page, 0, v),
+    "start": lambda r, v: _from(r, v, True),
+    "gorandom": lambda r, v: _from(r, pages.random_pages(r.page.filter("ns = 0"), 1, seed=0).first()["title"], True),
+    "file": _in_file,
+    "filelinks": lambda r, v: _of(r, r.image.filter(F.col("file") == _capital(v.removeprefix("File:")))),
+    "imageused": lambda r, v: _of(r, r.image.filter(F.col("file") == _capital(v.removeprefix("File:")))),
+    "imagelinks": _images_of,
+    "transcludes": lambda r, v: _of(r, r.template.filter(F.col("template") == _capital(v.removeprefix("Template:")))),
+    "search": _found,
+    "interwiki": lambda r, v: r.page.join(r.language.join(_titled(r, v).select("page_id"), "page_id", "left_semi").select("title").union(_titled(r, v).select("title")).distinct(), "title", "left_semi"),
+    "withoutinterwiki": lambda r, v: pages.without(r.page.filter("ns = 0"), r.language).limit(int(v)) if v else pages.without(r.page.filter("ns = 0"), r.language),
+    "new": lambda r, v: _newest(r, v, 60),
+    "newimages": lambda r, v: _of(r, r.log.filter("type = 'upload'").orderBy(F.desc("ts"), F.desc("page_id")).limit(int(v or 100))),
+    "recentchanges": lambda r, v: _recent(r, v, True),
+    "rc-nobots": lambda r, v: _recent(r, v, False),
+    "unwatched": lambda r, v: pages.without(r.page, r.watch),
+    "uncattemplates": lambda r, v: pages.without(r.page.filter("ns = 10"), r.category, other_key="member"),
+    "randomredirect": lambda r, v: pages.random_pages(r.page.filter("is_redirect"), int(v or 10), seed=0),
     "prefixindex": lambda r, v: pages.all_pages(r.page, 0, prefix=v),
     "cat": lambda r, v: _members(r, v, False),
     "catr": lambda r, v: _members(r, v, True),
@@ -114,7 +193,7 @@ _SOURCES: dict[str, Callable[[Relations, str], DataFrame]] = {
     "ancient": lambda r, v: r.page.join(pages.ancient(r.revision, int(v or 100)).select("page_id"), "page_id", "left_semi"),
     "usercontribs": _edited_by,
     "random": lambda r, v: pages.random_pages(r.page, int(v or 10), seed=0),
-    "redirectonly": lambda r, v: pages.all_pages(r.page, 0, v, redirects=None),
+    "redirectonly": lambda r, v: _from(r, v, None),
     "weblink": lambda r, v: r.page.join(r.url.filter(F.col("url").rlike(rf"^[a-z]+://(?:[^/]*\.)?{v}(?:[/:?#]|$)")).select("page_id").distinct(), "page_id", "left_semi"),
     "page": _titled,
 }
