@@ -118,14 +118,14 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, vocabulary, stop) -> D
 
         from pageloom.llm.topics import sentences
 
-        numbers = vocabulary.value
-        get, v, crc = numbers.get, len(numbers), zlib.crc32
+        numbers = vocabulary.value | dict.fromkeys(stop.value, -1)
+        get, v, crc = numbers.get, len(vocabulary.value), zlib.crc32
         for b in batches:
             words, lengths, ends, sentence_ends = [], [], [0], [0]
             for t in b.column(1).to_pylist():
                 for s in sentences(t):
                     before = len(words)
-                    words += [k if (k := get(w)) is not None else v + crc(w.encode()) % TAIL for w in s if w not in stop.value]
+                    words += [v + crc(w.encode()) % TAIL if k is None else k for w in s if (k := get(w)) != -1]
                     lengths.append(len(words) - before)
                 ends.append(len(words))
                 sentence_ends.append(len(lengths))
