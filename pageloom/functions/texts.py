@@ -111,3 +111,38 @@ def filled_down(lines: DataFrame, key: str, order: str, value: str, out: str) ->
     """Each line with the last value before it (or its own) within its page."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+# ---- lists of rules ---------------------------------------------------------------------------
+
+
+def holds_any(value: Column, parts: list[str]) -> Column:
+    """Whether a text holds any of some parts; the parts go into the plan."""
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(value, p)) if parts else F.lit(False)
+
+
+def worth_searching(title: Column) -> Column:
+    """Not lists with commas, and not mostly numbers."""
+    digits = F.length(F.regexp_replace(title, "[^0-9]", ""))
+    return (F.size(F.split(title, ",")) < 3) & (digits * 2 < F.length(title))
+
+
+def listed_users(text: Column) -> Column:
+    """array<struct<user, page>> of a whitelist page: '* [[User:A]]' lines with [[pages]] behind or in '**' lines below."""
+    lines = F.split(text, "\n")
+    user = lambda l: F.regexp_extract(l, r"^\*\s*\[\[\s*(?:[Uu]ser\s*:|Special:Contributions/)\s*([^\[\]|]+)", 1)
+    state = F.aggregate(
+        lines,
+        F.struct(F.lit("").alias("user"), F.array().cast("array<struct<user:string,page:string>>").alias("rows")),
+        lambda acc, l: F.struct(
+            F.when(user(l) != "", F.trim(user(l))).otherwise(acc["user"]).alias("user"),
+            F.concat(acc["rows"], F.transform(F.filter(F.regexp_extract_all(l, F.lit(r"\[\[([^\[\]|]+)"), F.lit(1)), lambda p: ~p.rlike("(?i)^\\s*(?:user\\s*:|special:contributions/)") & (F.when(user(l) != "", F.trim(user(l))).otherwise(acc["user"]) != "")),
+                                              lambda p: F.struct(F.when(user(l) != "", F.trim(user(l))).otherwise(acc["user"]).alias("user"), F.trim(p).alias("page")))).alias("rows"),
+        ),
+    )
+    return state["rows"]
+
+
+def free_marker(text: Column, base: str = "@", most: int = 8) -> Column:
+    """The shortest run of a sign that a text doesn't hold; null where it holds runs of ``most``."""
+    return F.coalesce(*[F.when(~F.contains(text, F.lit(base * n)), F.lit(base * n)) for n in range(1, most + 1)])

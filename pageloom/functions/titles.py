@@ -154,3 +154,19 @@ def last_name_first(name: Column) -> Column:
     """'Last, First' of a name of several words, for sorting."""
     last, first = F.regexp_extract(name, r"(\S+)$", 1), F.regexp_extract(name, r"^(.*) \S+$", 1)
     return F.when(F.contains(name, F.lit(" ")), F.concat(last, F.lit(", "), first)).otherwise(name)
+
+
+def expand_namespace_words(text: Column, rules: TitleRules = DEFAULT_RULES) -> Column:
+    """{{ns:6}} and {{ns:file}} as the namespace's name; unknown ones stay."""
+    for number, name in rules.canonical.items():
+        for key in (str(number), name):
+            if key:
+                text = F.regexp_replace(text, r"(?i)\{\{\s*ns\s*:\s*" + re.escape(key).replace(r"\ ", "[ _]") + r"\s*\}\}", name)
+    return text
+
+
+def from_database_name(link: Column) -> Column:
+    """'dewiki:Title' as 'de:Title', 'frwiktionary:x' as 'wiktionary:fr:x'; other links stay."""
+    lang, kind, rest = (F.regexp_extract(link, r"^([a-z]{2,3}(?:_[a-z]+)*)(wiki|wiktionary|wikibooks|wikisource|wikinews):(.*)$", i) for i in (1, 2, 3))
+    lang = F.replace(lang, F.lit("_"), F.lit("-"))
+    return F.when(kind == "", link).when(kind == "wiki", F.concat(lang, F.lit(":"), rest)).otherwise(F.concat(kind, F.lit(":"), lang, F.lit(":"), rest))

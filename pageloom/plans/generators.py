@@ -197,3 +197,9 @@ _SOURCES: dict[str, Callable[[Relations, str], DataFrame]] = {
     "weblink": lambda r, v: r.page.join(r.url.filter(F.col("url").rlike(rf"^[a-z]+://(?:[^/]*\.)?{v}(?:[/:?#]|$)")).select("page_id").distinct(), "page_id", "left_semi"),
     "page": _titled,
 }
+
+
+def pages_of_sql(tables: dict[str, DataFrame], text: str) -> DataFrame:
+    """(ns, title) of a SQL text; {name} in it stands for one of the tables."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.sql(text, **tables).select("ns", "title")

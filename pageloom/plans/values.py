@@ -382,3 +382,50 @@ def plural_messages(s, d):
     messages = {"en": "%(n)s {{PLURAL:n|page|pages}}", "fr": "%(n)s {{PLURAL:n|article|articles}}"}
     f = {l: wikitext.rewrite_udf(lambda v, l=l: language.translated(messages, l, n=v)) for l in messages}
     return s.range(200).select(F.col("id").alias("n"), *[f[l](F.col("id").cast("string")).alias(l) for l in messages])
+
+
+# ---- rules and small parsers ------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, 'See File:' || p_name || '.jpg, Category talk:x and {{ns:99}} or {{n:6}}' AS text FROM part")
+def namespace_words(s, d):
+    t = F.concat(F.lit("See {{ns:6}}:"), "p_name", F.lit(".jpg, {{NS:category_talk}}:x and {{ns:99}} or {{n:6}}"))
+    return table(s, d, "part").select("p_partkey", titles.expand_namespace_words(t).alias("text"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'de:' || p_name WHEN 1 THEN 'wiktionary:be-x-old:' || p_name ELSE 'x:' || p_name END AS link FROM part")
+def database_links(s, d):
+    k = F.col("p_partkey") % 3
+    t = F.concat(F.when(k == 0, "dewiki:").when(k == 1, "be_x_oldwiktionary:").otherwise("x:"), "p_name")
+    return table(s, d, "part").select("p_partkey", titles.from_database_name(t).alias("link"))
+
+
+@query("SELECT rec_no, contains(url, 'files.') OR contains(url, '.svg') AS excluded FROM csv_ingestion WHERE url IS NOT NULL")
+def excluded_urls(s, d):
+    return table(s, d, "csv_ingestion").filter("url IS NOT NULL").select("rec_no", texts.holds_any(F.col("url"), ["files.", ".svg"]).alias("excluded"))
+
+
+@query("SELECT page_id, len(string_split(title, ',')) < 3 AND length(regexp_replace(title, '[^0-9]', '', 'g')) * 2 < length(title) AS worth FROM pagelist")
+def searched_titles(s, d):
+    return table(s, d, "pagelist").select("page_id", texts.worth_searching(F.col("title")).alias("worth"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS page_id, c_name AS user_name, 'Page ' || CAST(c_custkey % 9 AS VARCHAR) AS page FROM customer UNION ALL SELECT CAST(c_custkey AS BIGINT), c_name, 'Other' FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT CAST(c_custkey AS BIGINT), 'Second', 'Last' FROM customer")
+def whitelist_pages(s, d):
+    """Users and their pages on whitelist pages."""
+    k = F.col("c_custkey")
+    t = F.concat(F.lit("Intro [[No one]]\n* [[User:"), "c_name", F.lit("|x]]: [[Page "), (k % 9).cast("string"), F.lit("]]\n"), F.when(k % 2 == 0, "** [[Other|o]]\n").otherwise(""), F.lit("*[[Special:Contributions/Second]]\n**[[Last]]"))
+    return table(s, d, "customer").select(k.cast("bigint").alias("page_id"), F.inline(texts.listed_users(t))).select("page_id", F.col("user").alias("user_name"), "page")
+
+
+@query("SELECT p_partkey, repeat('@', CAST(p_partkey % 4 AS INT) + 1) AS marker FROM part")
+def free_markers(s, d):
+    return table(s, d, "part").select("p_partkey", texts.free_marker(F.concat("p_name", F.expr("repeat('@', CAST(p_partkey % 4 AS INT))"))).alias("marker"))
+
+
+@query("SELECT 0 AS ns, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS title FROM part WHERE p_size > 45")
+def pages_by_sql(s, d):
+    """Pages by a SQL text over named tables."""
+    from pageloom.plans.generators import pages_of_sql
+
+    return pages_of_sql({"part": table(s, d, "part")}, "SELECT 0 AS ns, p_name || ' ' || CAST(p_partkey AS STRING) AS title FROM {part} WHERE p_size > 45")
