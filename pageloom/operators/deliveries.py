@@ -1,8 +1,8 @@
 """Problem 1: messages delivered more than once.
 
-Only (identifier, delivery order, file, row position) is shuffled. The winners' positions become
-bitmaps for each file ("deletion vectors": keyed and not kept), and the wide rows are read once
-more, without a shuffle, through those vectors.
+Only (identifier, delivery order, file, row position) is shuffled, in one narrow scan. The winners'
+positions become bitmaps for each file, and the wide rows are read once, without a shuffle, through
+them: a row that names a message and is no winner is deleted.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pageloom.session import materialised, shared_path
 
 #: Vectors up to this many bytes in all are sent to every executor; beyond it each task reads those of its own files.
 BROADCAST_BYTES = 64 << 20
-_CHUNK_BYTES = 2 * 4096  # two bitmaps for each 32,768 rows
+_CHUNK_BYTES = 4096  # a bitmap for each 32,768 rows
 
 
 def block_number(c: Column) -> Column:
@@ -41,11 +41,13 @@ def _positioned(df: DataFrame) -> tuple[DataFrame, Column]:
 
 
 class DeliveryVectors:
-    """Deletion vectors of one scan. keyed: rows that name a message; kept: the first delivery of each."""
+    """Deletion vectors of one scan: the places of the first delivery of each message; of the rows that
+    name a message all others are deleted."""
 
     def __init__(self, df: DataFrame, key: Column, order: Sequence[str], broadcast_bytes: int = BROADCAST_BYTES):
         self.df, self._meta = _positioned(df)
         self.broadcast_bytes = broadcast_bytes
+        self._keyed = key.isNotNull()
         self._file = F.xxhash64(self._meta.getField("file_path"))
         row = self._meta.getField("row_index") + F.lit(1)
         self._bucket, self._bit = F.bitmap_bucket_number(row), F.bitmap_bit_position(row)
@@ -56,22 +58,16 @@ class DeliveryVectors:
         ).filter("k IS NOT NULL")
         # min() of a struct combines before the shuffle, so a key with a third of all rows is no hot spot
         first = F.min(F.struct(*[c for c in narrow.columns if c != "k"])).alias("w")
-        kept = narrow.groupBy("k").agg(first).select("w.file", "w.bucket", "w.bit", F.lit(True).alias("won"))
-        both = narrow.select("file", "bucket", "bit", F.lit(False).alias("won")).unionByName(kept)
-        self.vectors = materialised(
-            both.groupBy("file", "bucket").agg(
-                F.bitmap_construct_agg(F.when(~F.col("won"), F.col("bit"))).alias("keyed"),
-                F.bitmap_construct_agg(F.when(F.col("won"), F.col("bit"))).alias("kept"),
-            )
-        )
+        kept = narrow.groupBy("k").agg(first).select("w.file", "w.bucket", "w.bit")
+        self.vectors = materialised(kept.groupBy("file", "bucket").agg(F.bitmap_construct_agg("bit").alias("kept")))
 
     def rows(self, deleted: bool, columns: Sequence[str] | None = None) -> DataFrame:
         """The deleted deliveries, or all other rows (first deliveries and rows that name no message)."""
         columns = list(columns or self.df.columns)
-        wide = self.df.select(*[F.col(f"`{c}`") for c in columns], self._file.alias("__file"), self._bucket.alias("__bucket"), self._bit.alias("__bit"))
+        wide = self.df.select(*[F.col(f"`{c}`") for c in columns], self._file.alias("__file"), self._bucket.alias("__bucket"), self._bit.alias("__bit"), self._keyed.alias("__keyed"))
         if self.vectors.count() * _CHUNK_BYTES <= self.broadcast_bytes:
-            v = F.broadcast(self.vectors.select(F.col("file").alias("__file"), F.col("bucket").alias("__bucket"), F.col("keyed").alias("__keyed"), F.col("kept").alias("__kept")))
-            gone = F.coalesce(_bit(F.col("__keyed"), F.col("__bit")) & ~_bit(F.col("__kept"), F.col("__bit")), F.lit(False))
+            v = F.broadcast(self.vectors.select(F.col("file").alias("__file"), F.col("bucket").alias("__bucket"), F.col("kept").alias("__kept")))
+            gone = F.col("__keyed") & ~F.coalesce(_bit(F.col("__kept"), F.col("__bit")), F.lit(False))
             out = wide.join(v, ["__file", "__bucket"], "left").filter(gone if deleted else ~gone)
         else:
             out = self._by_file(wide, deleted)
@@ -101,21 +97,22 @@ class DeliveryVectors:
                     if store.get_file_info(at).type != fs.FileType.NotFound:
                         for f in store.get_file_info(fs.FileSelector(at)):
                             if f.path.endswith(".parquet"):
-                                t = pq.read_table(store.open_input_file(f.path), columns=["bucket", "keyed", "kept"])
-                                for b, x, y in zip(t["bucket"].to_pylist(), t["keyed"].to_pylist(), t["kept"].to_pylist()):
-                                    found[b] = np.frombuffer(x, np.uint8) & ~np.frombuffer(y, np.uint8)
+                                t = pq.read_table(store.open_input_file(f.path), columns=["bucket", "kept"])
+                                for b, x in zip(t["bucket"].to_pylist(), t["kept"].to_pylist()):
+                                    found[b] = np.frombuffer(x, np.uint8)
                     cache[file] = found
                 return cache[file]
 
             for b in batches:
-                file, bucket, bit = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__file", "__bucket", "__bit"))
-                gone = np.zeros(b.num_rows, bool)
+                file, bucket, bit, keyed = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__file", "__bucket", "__bit", "__keyed"))
+                kept = np.zeros(b.num_rows, bool)
                 for f in np.unique(file):
                     for k in np.unique(bucket[file == f]):
                         v = vectors(int(f)).get(int(k))
                         if v is not None:
                             at = np.flatnonzero((file == f) & (bucket == k))
-                            gone[at] = (v[bit[at] >> 3] >> (bit[at] & 7)) & 1
+                            kept[at] = (v[bit[at] >> 3] >> (bit[at] & 7)) & 1
+                gone = keyed.astype(bool) & ~kept
                 yield b.filter(pa.array(gone if deleted else ~gone))
 
         return wide.mapInArrow(apply, wide.schema)
