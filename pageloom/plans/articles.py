@@ -326,7 +326,7 @@ _ARGUMENTS = ["-transcludes:stub", "-filelinks:part_6.jpg", "-search:host7 categ
  r AS (SELECT '-transcludes:stub' AS argument, page_id FROM used WHERE template = 'Stub' UNION ALL SELECT '-filelinks:part_6.jpg', page_id FROM used_i WHERE file = 'Part 6.jpg' UNION ALL SELECT '-imageused:Part 9.jpg', page_id FROM used_i WHERE file = 'Part 9.jpg'
  UNION ALL SELECT '-search:host7 category', page_id FROM article WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), 'host7') AND list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), 'category')
  UNION ALL SELECT '-withoutinterwiki', page_id FROM article WHERE page_id NOT IN (SELECT page_id FROM langs) UNION ALL SELECT '-weblink:host3.example.net', page_id FROM article WHERE contains(text, '://host3.example.net/')
- UNION ALL SELECT '-redirectonly:b', page_id FROM article WHERE contains(text, '#REDIRECT') AND title >= 'b' UNION ALL SELECT '-start:s', page_id FROM article WHERE title >= 's') SELECT argument, page_id FROM r""".replace("\\p", "\p"))
+ UNION ALL SELECT '-redirectonly:b', page_id FROM article WHERE contains(text, '#REDIRECT') AND title >= 'b' UNION ALL SELECT '-start:s', page_id FROM article WHERE title >= 's') SELECT argument, page_id FROM r""")
 def page_arguments(s, d):
     """Page lists by arguments, each with its pages."""
     from pageloom.plans.generators import Relations, page_query
