@@ -140,11 +140,9 @@ class Model:
 
     def share_known(self, ids: list[int], language: int) -> float:
         """The share of a sentence's telling words that the language knows."""
-        mine = tell = 0
-        for i in ids:
-            x = self.known[i]
-            mine, tell = mine + x[language], tell + x[-1]
-        return mine / tell if tell else 0.0
+        known = [self.known[i] for i in ids]
+        tell = sum([x[-1] for x in known])
+        return sum([x[language] for x in known]) / tell if tell else 0.0
 
     def ids_of(self, words: list[str]) -> list[int]:
         ids = self.ids
@@ -172,7 +170,12 @@ class Model:
 
     def marginals(self, sentences: list[list[int]]) -> list[np.ndarray]:
         """For each sentence (ids of its words) the languages' probabilities of each word."""
+        return self.labelled(sentences)[0]
+
+    def labelled(self, sentences: list[list[int]]) -> tuple[list[np.ndarray], list[int], list[float]]:
+        """``marginals``, and of each sentence the one label of all its words (-1 for several) with its mean probability."""
         out: list = [None] * len(sentences)
+        label, sure = np.full(len(sentences), -1), np.zeros(len(sentences))
         order = np.argsort([len(s) for s in sentences], kind="stable")
         table = self.table()
         step, start = np.exp(self.transitions).astype(np.float32), np.exp(self.start).astype(np.float32)
@@ -191,9 +194,14 @@ class Model:
             for r, i in enumerate(part):
                 ids[r, : lengths[r]] = sentences[i]
             m = forward_backward(table[ids], lengths, step, start)
+            inside = np.arange(lengths[-1]) < lengths[:, None]
+            top = m.argmax(2)
+            one = ((top == top[:, :1]) | ~inside).all(1)
+            label[part] = np.where(one, top[:, 0], -1)
+            sure[part] = (np.take_along_axis(m, top[:, :1, None], 2)[:, :, 0] * inside).sum(1, dtype=np.float64) / lengths
             for r, i in enumerate(part):
                 out[i] = m[r, : lengths[r]]
-        return out
+        return out, label.tolist(), sure.tolist()
 
 
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: np.ndarray, with_pairs: bool = False):
@@ -390,31 +398,32 @@ def sentence_languages(model: Model, texts: list[str | None]) -> list[list[tuple
                 where.append((i, at, p))
                 sentences.append(model.ids_of(w))
     out: list[list] = [[] for _ in texts]
-    for (i, at, p), ids, m in zip(where, sentences, model.marginals(sentences)):
-        full, top = complete(p), m.argmax(1)
-        if (top == top[0]).all():
-            out[i].append(_piece(model, at, at + len(p), int(top[0]), ids, m, full))
+    for (i, at, p), ids, m, label, mean in zip(where, sentences, *model.labelled(sentences)):
+        full = complete(p)
+        if label >= 0:
+            out[i].append(_piece(model, at, at + len(p), label, ids, mean, full, len(ids)))
             continue
-        total = m.sum(0)
+        top, total = m.argmax(1), m.sum(0)
         runs = _runs(m, top, int(total.argmax()))
         if len(runs) == 1:
-            out[i].append(_piece(model, at, at + len(p), runs[0][2], ids, m, full))
+            k = runs[0][2]
+            out[i].append(_piece(model, at, at + len(p), k, ids, float(m[:, k].mean()), full, int((top == k).sum())))
             continue
         spans = [w.span() for w in _WORD.finditer(unquoted(p))]
         for n, (x, z, k) in enumerate(runs):  # the first and the last run reach to the piece's ends
             a = 0 if n == 0 else spans[x][0]
             b = len(p) if n == len(runs) - 1 else spans[z - 1][1]
-            out[i].append(_piece(model, at + a, at + b, k, ids[x:z], m[x:z], full))
+            out[i].append(_piece(model, at + a, at + b, k, ids[x:z], float(m[x:z, k].mean()), full, int((top[x:z] == k).sum())))
     model.trim()
     return out
 
 
-def _piece(model: Model, a: int, b: int, k: int, ids: list[int], m: np.ndarray, full: bool) -> tuple[int, int, str, float, bool]:
-    sure = float(m[:, k].sum()) / len(m)
+def _piece(model: Model, a: int, b: int, k: int, ids: list[int], sure: float, full: bool, agree: int) -> tuple[int, int, str, float, bool]:
+    """A piece in language k, of that mean probability; ``agree`` of its words are labelled so."""
     known = model.share_known(ids, k)
     if known < SENTENCE_KNOWN:
         return a, b, OTHER, round(1 - known, 4), False
-    return a, b, LANGUAGES[k], sure, full and int((m.argmax(1) == k).sum()) >= SENTENCE_WORDS and sure >= SENTENCE_CONFIDENCE
+    return a, b, LANGUAGES[k], sure, full and agree >= SENTENCE_WORDS and sure >= SENTENCE_CONFIDENCE
 
 
 def _runs(m: np.ndarray, top: np.ndarray, main: int) -> list[tuple[int, int, int]]:
