@@ -28,7 +28,9 @@ class Step:
 
     def __call__(self, text: str | None) -> str | None:
         for old, new in self.rules:
-            text = replace_except(text, re.compile(old), new, list(self.regions))
+            pattern = re.compile(old)
+            if text is not None and pattern.search(text):  # else there is no need to look for regions
+                text = replace_except(text, pattern, new, list(self.regions))
         return text
 
 
